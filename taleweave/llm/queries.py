@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, simhash, token_counts, topk
+from . import decontaminate, html_extract, langid, mixing, simhash, token_counts, topk
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).drop("text", "source")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 2))
+    found = langid.identify(docs, model)
+    return found.withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 2, F.lit(False)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -30,7 +48,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op8_html_extract, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op4_langid, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
 
 
 OP10_SQL = """
@@ -47,5 +65,32 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP7_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, text, regexp_extract_all(lower_ascii(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(lower_ascii(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), ish AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM iw
+), dsh AS (
+  SELECT DISTINCT doc_id, text, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM dw
+), n AS (SELECT item_id, count(*) AS n FROM ish GROUP BY 1
+), held AS (
+  SELECT doc_id, text, item_id, count(*) AS held FROM dsh JOIN ish USING (s) GROUP BY ALL
+), bad AS (
+  SELECT doc_id, text, count(*) AS n_items, max(held / n) AS containment, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids
+  FROM held JOIN n USING (item_id) WHERE held >= n * 0.8 - 1e-9 GROUP BY ALL
+)
+SELECT d.doc_id, bad.n_items IS NOT NULL AS contaminated, coalesce(bad.n_items, 0)::BIGINT AS n_items, coalesce(bad.containment, 0)::DOUBLE AS containment, coalesce(bad.item_ids, '') AS item_ids
+FROM documents d LEFT JOIN bad ON d.doc_id IS NOT DISTINCT FROM bad.doc_id AND d.text IS NOT DISTINCT FROM bad.text
+"""
+#: A-Z only, as ``lower`` would change other letters.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def sql(text: str) -> str:
+    return re.sub(r"lower_ascii\(([\w.]+)\)", lambda m: LOWER.format(m[1]), text)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {k: sql(v) for k, v in (("op7_decontaminate", OP7_SQL), ("op10_topk", OP10_SQL))}
