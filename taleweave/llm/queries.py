@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, mixing, simhash, token_counts, topk
+from . import decontaminate, html_extract, langid, licenses, mixing, pii, simhash, token_counts, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).drop("text", "source")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 2))
@@ -24,6 +28,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 2, F.lit(False)))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +56,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_langid, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op3_licenses, op4_langid, op5_pii, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
 
 
 OP10_SQL = """
@@ -84,6 +92,39 @@ WITH dw AS (
 SELECT d.doc_id, bad.n_items IS NOT NULL AS contaminated, coalesce(bad.n_items, 0)::BIGINT AS n_items, coalesce(bad.containment, 0)::DOUBLE AS containment, coalesce(bad.item_ids, '') AS item_ids
 FROM documents d LEFT JOIN bad ON d.doc_id IS NOT DISTINCT FROM bad.doc_id AND d.text IS NOT DISTINCT FROM bad.text
 """
+OP3_SQL = (
+    r"""
+WITH t(template, label, base, place, grams, gram) AS (VALUES """
+    + ", ".join(f"({t}, '{label}', {base}, {place}, {grams}, '{gram}')" for t, label, base, place, grams, gram in licenses.template_rows())
+    + r"""
+), dw AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(lower_ascii(text), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (SELECT DISTINCT doc_id, text, w FROM dw
+), g AS (
+  SELECT doc_id, text, unnest(range(0, len(w) - 2)) AS pos, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS gram FROM d WHERE len(w) >= 3
+), lines AS (
+  SELECT doc_id, text, template, label, base, grams, pos - place AS diagonal, list(DISTINCT place) AS places, min(pos) AS first, max(pos) AS last
+  FROM g JOIN t USING (gram) GROUP BY ALL
+), gaps AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal), 0) AS gap FROM lines
+), merged AS (
+  SELECT *, sum((gap > 2)::INT) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal) AS span FROM gaps
+), spans AS (
+  SELECT doc_id, text, template, label, base, grams, span, len(list_distinct(flatten(list(places)))) / grams AS share, min(first) AS first, max(last) AS last,
+         coalesce(list(diagonal) FILTER (base AND len(places) = grams), []) AS places
+  FROM merged GROUP BY doc_id, text, template, label, base, grams, span
+), r AS (
+  SELECT doc_id, text, sum(len(places))::BIGINT AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (len(places) > 0) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (len(places) > 0 OR share >= 0.8) AS labels, max(share) AS score,
+         string_agg(label || ':' || first || ':' || (last + 3), ',' ORDER BY first, label, last) FILTER (share >= 0.8) AS spans
+  FROM spans GROUP BY ALL
+)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(spans, '') AS spans
+FROM dw LEFT JOIN r ON dw.doc_id IS NOT DISTINCT FROM r.doc_id AND dw.text IS NOT DISTINCT FROM r.text
+"""
+)
 #: A-Z only, as ``lower`` would change other letters.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,4 +134,4 @@ def sql(text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql(v) for k, v in (("op7_decontaminate", OP7_SQL), ("op10_topk", OP10_SQL))}
+    return {k: sql(v) for k, v in (("op3_licenses", OP3_SQL), ("op7_decontaminate", OP7_SQL), ("op10_topk", OP10_SQL))}
