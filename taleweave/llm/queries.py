@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, mixing, pii, simhash, token_counts, topk
+from . import decontaminate, html_extract, langid, licenses, linededup, mixing, pii, simhash, token_counts, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).drop("text", "source")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +60,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_licenses, op4_langid, op5_pii, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_licenses, op4_langid, op5_pii, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
 
 
 OP10_SQL = """
@@ -92,6 +96,32 @@ WITH dw AS (
 SELECT d.doc_id, bad.n_items IS NOT NULL AS contaminated, coalesce(bad.n_items, 0)::BIGINT AS n_items, coalesce(bad.containment, 0)::DOUBLE AS containment, coalesce(bad.item_ids, '') AS item_ids
 FROM documents d LEFT JOIN bad ON d.doc_id IS NOT DISTINCT FROM bad.doc_id AND d.text IS NOT DISTINCT FROM bad.text
 """
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT coalesce(doc_id, -9223372036854775808) AS id, line, t, list_distinct(regexp_extract_all(lower_ascii(t), '[^\x20\x09-\x0D]+')) AS w FROM l
+), f AS (SELECT t, w, len(w) AS n, min((id, line)) AS pos FROM s WHERE len(w) >= 5 GROUP BY ALL
+), token AS (SELECT unnest(w) AS word, t, n, pos FROM f
+), df AS (SELECT word, count(*) AS df FROM token GROUP BY 1
+), placed AS (
+  SELECT word, t, n, pos, row_number() OVER (PARTITION BY t ORDER BY df, word) AS i FROM token JOIN df USING (word)
+), prefix AS (SELECT * FROM placed WHERE i <= n - ceil(n * 0.8 - 1e-9) + 1
+), pairs AS (
+  SELECT DISTINCT x.t AS xt, y.t AS yt FROM prefix x JOIN prefix y ON x.word = y.word AND y.pos < x.pos AND y.n >= x.n * 0.8 - 1e-9 AND x.n >= y.n * 0.8 - 1e-9
+), bad AS (
+  SELECT DISTINCT xt AS t FROM pairs JOIN f x ON xt = x.t JOIN f y ON yt = y.t
+  WHERE len(list_intersect(x.w, y.w)) >= (x.n + y.n - len(list_intersect(x.w, y.w))) * 0.8 - 1e-9
+), kept AS (
+  SELECT l.doc_id, l.text, l.line, l.t, f.t IS NOT NULL AS long, f.t IS NULL OR ((coalesce(l.doc_id, -9223372036854775808), l.line) = f.pos AND l.t NOT IN (SELECT t FROM bad)) AS stays
+  FROM (SELECT DISTINCT * FROM l) l LEFT JOIN f ON l.t = f.t
+), r AS (
+  SELECT doc_id, text, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (stays), '') AS new, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, count(*) FILTER (stays AND long) AS n_left
+  FROM kept GROUP BY ALL
+)
+SELECT d.doc_id, r.new AS text, coalesce(r.n_lines, 0)::BIGINT AS n_lines, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_left, 0)::BIGINT AS n_left
+FROM documents d LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text
+"""
 OP3_SQL = (
     r"""
 WITH t(template, label, base, place, grams, gram) AS (VALUES """
@@ -134,4 +164,4 @@ def sql(text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql(v) for k, v in (("op3_licenses", OP3_SQL), ("op7_decontaminate", OP7_SQL), ("op10_topk", OP10_SQL))}
+    return {k: sql(v) for k, v in (("op2_line_dedup", OP2_SQL), ("op3_licenses", OP3_SQL), ("op7_decontaminate", OP7_SQL), ("op10_topk", OP10_SQL))}

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,6 +205,17 @@ def fingerprint_links(distinct: DataFrame, distance: int, node_rows: int) -> Dat
     return search_nodes(small.union(children), distance)
 
 
+def keep_one(docs: DataFrame, *, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, of its texts the one with the least hash."""
+    keyed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    found = simhash_components(keyed, text=text, id=id, carry=("__hash",), **options)
+    kept = found.where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("__id")).agg(F.min("__hash").alias("__least"))
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__least"))
+    # rows that repeat id and text
+    once = F.row_number().over(Window.partitionBy(id, "__hash").orderBy(F.lit(1)))
+    return keyed.join(kept, same, "left_semi").withColumn("__once", once).where(F.col("__once") == 1).select(*docs.columns)
+
+
 def simhash_components(
     docs: DataFrame,
     *,
@@ -214,13 +225,14 @@ def simhash_components(
     seed: int = 42,
     distance: int = 2,
     node_rows: int = 4096,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row."""
-    rows = written(fingerprints(docs, text=text, keys=(id,), shingle=shingle, seed=seed), "fingerprints")
+    """``id``, the columns to ``carry``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row."""
+    rows = written(fingerprints(docs, text=text, keys=(id, *carry), shingle=shingle, seed=seed), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(id).alias("least")), "nodes")
     linked = written(components(fingerprint_links(nodes.select("fp"), distance, node_rows)), "components")
     rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # most fingerprints stand alone: only linked ones meet in a second shuffle
     of = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select(id, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
