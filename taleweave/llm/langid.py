@@ -23,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Bound of the training sample, a language: rows, and bytes after which no further row is taken.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1_500_000
+#: Labels up to which their counts are broadcast.
+BROADCAST_LABELS = 10_000
 SEGMENT = 1 << 20
 DENSE_CELLS = 1 << 24
 UND = "und"
@@ -37,7 +41,9 @@ def folded(data: bytes, order: int) -> np.ndarray:
 def sample(labelled: DataFrame, text: str, lang: str, rows: int, size: int) -> DataFrame:
     """At most ``rows`` texts a language, in the order of a hash, until ``size`` bytes are reached."""
     kept = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counted = kept.groupBy("lang").agg(F.count("*").alias("n"))
+    counted = written(kept.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    if counted.count() <= BROADCAST_LABELS:  # else the join would deal all texts out by language
+        counted = F.broadcast(counted)
     hashed = kept.withColumn("h", F.xxhash64("text"))
     # a hash threshold first, so that the window sees about twice the rows it keeps and no more
     near = hashed.join(counted, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * rows / F.col("n"))
