@@ -72,7 +72,7 @@ def gram_hits(w: Column, grams: list[str]) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), gram(i).alias("gram")))
 
 
-def scan_licenses(docs: DataFrame, *, text: str = "text", id: str = "doc_id", slack: int = 2, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text: str = "text", id: str = "doc_id", slack: int = 2, threshold: float = 0.9) -> DataFrame:
     """``id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and ``spans`` of every row.
 
     ``spans`` lists the verified spans as ``label:first word:end``, the end exclusive.

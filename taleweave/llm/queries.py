@@ -146,8 +146,8 @@ WITH t(template, label, base, place, grams, gram) AS (VALUES """
 ), r AS (
   SELECT doc_id, text, sum(len(places))::BIGINT AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (len(places) > 0) AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (len(places) > 0 OR share >= 0.8) AS labels, max(share) AS score,
-         string_agg(label || ':' || first || ':' || (last + 3), ',' ORDER BY first, label, last) FILTER (share >= 0.8) AS spans
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (len(places) > 0 OR share >= 0.9) AS labels, max(share) AS score,
+         string_agg(label || ':' || first || ':' || (last + 3), ',' ORDER BY first, label, last) FILTER (share >= 0.9) AS spans
   FROM spans GROUP BY ALL
 )
 SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
