@@ -175,7 +175,8 @@ def model(precision: float) -> tuple[list, dict[int, float]]:
     limits = {}
     for k in range(len(KINDS)):
         own = np.array([r.kind == k for r in rows])
-        limits[k] = max(0.0, cut(score[own], y[own], precision)) if own.any() else float("inf")
+        # never beyond the log odds of that precision, which a calibrated score has there
+        limits[k] = min(np.log(precision / (1 - precision)), max(0.0, cut(score[own], y[own], precision))) if own.any() else float("inf")
     return trees, limits
 
 
