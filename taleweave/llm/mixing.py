@@ -144,23 +144,23 @@ def mix_sources(
     cells = counts.join(of, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("rate", rate)
     cells = rounded(cells.select(*counts.columns, "source_size", "target", "rate"), most)
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    cells = written(cells.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), "n", "source_size", "target", "rate", "m", buckets.alias("buckets")), "cells")
+    cells = written(cells.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), F.col("n").alias("__n"), "source_size", "target", "rate", F.col("m").alias("__copies"), buckets.alias("__buckets")), "cells")
 
     def in_cell(rows: DataFrame) -> DataFrame:
         joined = rows.join(cells, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-        return joined.withColumn("__bucket", F.pmod("__tie", F.col("buckets")))
+        return joined.withColumn("__bucket", F.pmod("__tie", F.col("__buckets")))
 
-    dealt = in_cell(keys).groupBy("__source", "__size", "__bucket").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    dealt = in_cell(keys).groupBy("__source", "__size", "__bucket").agg(F.count("*").alias("k"), F.first("__n").alias("n"), F.first("__copies").alias("m"))
     over = Window.partitionBy("__source", "__size").orderBy("__bucket")
     upto = F.sum("k").over(over)
     share_of = lambda c: F.floor(c.cast("decimal(20,0)") * F.col("m").cast("decimal(18,0)") / F.col("n").cast("decimal(18,0)"))
     dealt = written(
-        dealt.withColumn("__upto", upto).select(F.col("__source").alias("__bs"), F.col("__size").alias("__bz"), F.col("__bucket").alias("__b"), "k", (share_of(F.col("__upto")) - share_of(F.col("__upto") - F.col("k"))).cast("long").alias("__m")),
+        dealt.withColumn("__upto", upto).select(F.col("__source").alias("__bs"), F.col("__size").alias("__bz"), F.col("__bucket").alias("__b"), F.col("k").alias("__k"), (share_of(F.col("__upto")) - share_of(F.col("__upto") - F.col("k"))).cast("long").alias("__m")),
         "buckets",
     )
     rows = in_cell(sized(docs, text, source, id)).join(dealt, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__size") == F.col("__bz")) & (F.col("__bucket") == F.col("__b")))
     place = F.row_number().over(Window.partitionBy("__source", "__size", "__bucket").orderBy("__tie", id))
-    each = F.floor(F.col("__m") / F.col("k")) + (place <= F.col("__m") % F.col("k")).cast("long")
+    each = F.floor(F.col("__m") / F.col("__k")) + (place <= F.col("__m") % F.col("__k")).cast("long")
     return rows.withColumn("copies", F.when(F.col("__size") == 0, 0).otherwise(each).cast("long")).select(
         *docs.columns, F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.col("rate").alias("rate"), "copies", (F.col("copies") * F.col("__size")).alias("taken")
     )
