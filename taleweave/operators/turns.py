@@ -36,11 +36,10 @@ def tiers(entities: DataFrame, mentions: str, chapters: str, name: str, main: in
 def interleaved(rows: DataFrame, by: str, order: str) -> DataFrame:
     """``rows`` with ``position``: the thirds of each group, dealt in turn (head, middle, tail)."""
     w = Window.partitionBy(by)
-    i = F.row_number().over(w.orderBy(order)) - 1
-    n = F.count("*").over(w)
-    third = F.when(F.col("i") < F.col("n") / 3, 0).when(F.col("i") < 2 * F.col("n") / 3, 1).otherwise(2)
-    dealt = rows.withColumns({"i": i, "n": n}).withColumn("third", third).withColumn("turn_of", F.row_number().over(Window.partitionBy(by, "third").orderBy("i")))
-    return dealt.withColumn("position", F.row_number().over(w.orderBy("turn_of", "third")) - 1).drop("i", "n", "third", "turn_of")
+    place = F.row_number().over(w.orderBy(order)) - 1
+    third = F.when(F.col("__i") < F.col("__n") / 3, 0).when(F.col("__i") < 2 * F.col("__n") / 3, 1).otherwise(2)
+    dealt = rows.withColumns({"__i": place, "__n": F.count("*").over(w)}).withColumn("__third", third).withColumn("__turn", F.row_number().over(Window.partitionBy(by, "__third").orderBy("__i")))
+    return dealt.withColumn("position", F.row_number().over(w.orderBy("__turn", "__third")) - 1).drop("__i", "__n", "__third", "__turn")
 
 
 def newest(rows: DataFrame, by: str, order: str, role: str, text: str, keep: int, most_tokens: float, least: int = 4, tokens_per_char: float = 0.25) -> DataFrame:
