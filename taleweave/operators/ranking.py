@@ -36,7 +36,7 @@ def fuse_ranks(lists: list[DataFrame], k: int | None = None, constant: int = RRF
 def fuse_weighted(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     """Weighted sum of similarities of ``(hits(query_id, id, similarity), weight)``; lists without weight don't count."""
     parts = [x.select("query_id", "id", (F.col("similarity") * w).alias("part")) for x, w in lists if w > 0]
-    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.round(F.sum("part"), 8).alias("score"))
     return top_k(fused, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 

@@ -79,7 +79,7 @@ def multi_channel_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {COSINE},
 c AS ({ranked('s', 'query_id, label', 20, 'query_id, label, id, similarity', 'similarity DESC, id')}),
-f AS (SELECT query_id, id, round(sum(similarity * CASE label WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END), 6) AS score FROM c WHERE label < 3 GROUP BY ALL)
+f AS (SELECT query_id, id, round(sum(similarity * CASE label WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END), 8) AS score FROM c WHERE label < 3 GROUP BY ALL)
 {ranked('f', 'query_id', 10, 'query_id, id, score', 'score DESC, id')}""")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = nearest.search(blocks(spark, sf_dir).where("label < 3"), asked(spark, sf_dir), 20, by="label")
