@@ -62,6 +62,8 @@ AGAINST = r"(?i)\b(?:isbn|issn|doi|order|invoice|version|page|pages|commit|revis
 #: The labelled table: short texts written for it, with true spans in double brackets.
 LABELLED = (
     "please email [[jane.roe (at) example dot org]] for details", "write to [[sam_lee [at] mail [dot] example [dot] com]] today", "contact: [[k.meyer at example dot net]] or visit", "my address is [[joe at home.example dot com]]",
+    "email [[bob [at] example.com]] now", "contact [[ann.lee (at) mail.example.org]] please", "mail [[tom at example dot net]] soon", "reach me by mail [[lea(at)example(dot)com]]", "[[kim_park [at] example [dot] org]] is mine", "e-mail: [[ola at web.example.com]]", "write [[max.b at mail.example.net]] first", "[[eva.lind (at) post.example.se]] answered", "my mail is [[pat (at) example.org]]",
+    "he works at example.com now", "we met (at) the cafe.Later on", "mail came at noon.Then he left", "see you at four.Bring the email", "look at this. dot com", "stay (at) home.Please",
     "we meet at noon at the library. See you", "he looked at him.And then left", "she works at acme.Inc and likes it", "look (at) this.page now", "arrive at station.Then wait", "a seat at table.The rest stood", "meet me (at) the dot com cafe",
     "call me at [[555-201-3344]] tonight", "phone [[(212) 555 0147]] after six", "Tel: [[030 5550 1234]] office", "mobile [[(0171) 555-2233]]", "fax [[415.555.2671]] ", "dial [[202-555-0188]] now", "my cell is [[(917) 555-0100]]",
     "scores were 120 345 678 in total", "the years 1998 2001 2004 and so on", "part 104-2200-3391 is out of stock", "rows 100 200 300 of the table", "order 555-100-2000 shipped", "pages 120-1230-1400 missing", "version 10.200.3000 released", "ids 1200 3400 5600 deleted", "values 300-400-500 kept",
