@@ -4,20 +4,23 @@ A line is the set of its lower-cased words. A line with ``least`` different word
 line, by document id and line number, has a Jaccard similarity of ``threshold`` or more to it, or is the same
 string. Shorter lines stay. Whatever else matches, the earliest line of all stays.
 
-* Equal lines are brought together by a 128-bit hash; only the first of each goes on.
+* Equal lines are brought together by a 128-bit hash; only the first of each goes on, with its prefix.
 * Words of a line are ordered by rarity: words fall into a fixed number of hash buckets, counted over all
   lines, and the order is that of the bucket's count, then of the word's hash. Any total order is exact; this
   one needs no vocabulary.
 * Two similar lines share a word among the rarest few of each (the prefix). Prefixes are joined by word, under
   the length filter and the positional filter: words that stand after the shared one on either side bound
   the overlap.
-* Candidate pairs are verified on the words themselves.
-* A word in the prefixes of more than ``hot`` lines would pair each with each. First all lines are verified
-  against the earliest line of the word; those it settles ask no more, and only the others meet the rest.
-
-Only DataFrame operations run on texts. A null text stays null; empty lines stay. Rows with one id count as
-one document: lines at equal places of them don't remove each other, so repeated rows get the same result. A
-null id comes before all others. An empty table gives no rows.
+* A set also has 64 parity bits. Sets differ in as many words as their bits do, at least, which drops nearly all
+  candidates that are not similar before any text is fetched.
+* A word in over ``hot`` prefixes would pair each of its lines with each. So first each line meets only the
+  earliest line of each length of such a word; the candidate that shares most words is verified, and settles most
+  lines that have to go. Only lines not settled so meet all others. Verification is on the words themselves.
+
+Only DataFrame operations run on texts. Each phase is written to the shared folder, so a lost executor costs
+no more than the phase. A null text stays null; empty lines stay. Rows with one id count as one document:
+lines at equal places of them don't remove each other, so repeated rows get the same result. A null id comes
+before all others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKEN, ascii_lower, words, written
+from .common import ascii_lower, written
 
 BUCKETS = 1 << 16
+#: Lines up to which a list of them (16 bytes each) is broadcast.
+BROADCAST_LINES = 1_000_000
 ADDED = ("n_lines", "n_removed", "n_left")
 
 
@@ -40,8 +45,13 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of anything but ASCII white space; splitting takes half the time of matching."""
+    return F.array_remove(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+", -1), "")
+
+
 def word_set(line: Column) -> Column:
-    return F.array_distinct(words(ascii_lower(line), TOKEN))
+    return F.array_distinct(tokens(line))
 
 
 def needed(n: Column, threshold: float) -> Column:
@@ -54,7 +64,7 @@ def word_ranks(texts: DataFrame) -> Column:
 
     The driver gets one number a bucket, and the array becomes a constant of the plan.
     """
-    word = texts.select(F.explode(words(ascii_lower(F.col("text")), TOKEN)).alias("w"))
+    word = texts.select(F.explode_outer(tokens(F.col("text"))).alias("w")).where(F.col("w").isNotNull())
     n = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     held = {r.bucket: r.n for r in n.collect()}
     ranks = [0] * BUCKETS
@@ -63,13 +73,33 @@ def word_ranks(texts: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def ordered(line: Column, ranks: Column) -> Column:
-    """The words of a line as numbers, rarest first."""
+def ordered(hashes: Column, ranks: Column) -> Column:
+    """Words, given by their hashes, as numbers, rarest first."""
+    number = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+    return F.sort_array(F.transform(hashes, number))
+
+
+def parity(hashes: Column) -> Column:
+    """64 bits, each the parity of the words it stands for: two sets differ in as many words as their bits differ, at least."""
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))))
+
 
-    def number(w: Column) -> Column:
-        return bound(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
+#: A place as one number that is aggregated in its buffer: id, line, and the position of a word.
+LINE_SPAN, WORD_SPAN = 1 << 31, 1 << 24
+NUMBER = "decimal(38,0)"
 
-    return F.sort_array(F.transform(word_set(line), number))
+
+def place(id: Column, line: Column, i: Column) -> Column:
+    return (id.cast("decimal(20,0)") * F.lit(LINE_SPAN).cast("decimal(10,0)") + line).cast("decimal(30,0)") * F.lit(WORD_SPAN).cast("decimal(8,0)") + i
+
+
+def unplaced(number: Column, prefix: str) -> list[Column]:
+    """Columns id, line and i of a place."""
+    word, line = F.lit(WORD_SPAN).cast("decimal(8,0)"), F.lit(LINE_SPAN).cast("decimal(10,0)")
+    i = F.pmod(number, word)
+    rest = ((number - i) / word).cast(NUMBER)
+    k = F.pmod(rest, line)
+    return [((rest - k) / line).cast("long").alias(prefix + "id"), k.cast("int").alias(prefix + "line"), i.cast("int").alias(prefix + "i")]
 
 
 def later(x: str, y: str) -> Column:
@@ -77,68 +107,95 @@ def later(x: str, y: str) -> Column:
 
 
 def close_enough(threshold: float) -> Column:
-    """The length filter and the positional filter on a shared word at xi of xn and yi of yn."""
-    overlap = F.ceil((F.col("xn") + F.col("yn")) * (threshold / (1 + threshold)) - 1e-9)
-    return (F.col("yn") >= F.col("xn") * threshold - 1e-9) & (F.col("xn") >= F.col("yn") * threshold - 1e-9) & (F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= overlap)
+    """The length filter, the parity filter, and the positional filter on a shared word at xi of xn and yi of yn."""
+    both = F.col("xn") + F.col("yn")
+    overlap = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+    lengths = (F.col("yn") >= F.col("xn") * threshold - 1e-9) & (F.col("xn") >= F.col("yn") * threshold - 1e-9)
+    unlike = F.bit_count(F.col("xbits").bitwiseXOR(F.col("ybits")))
+    return lengths & (unlike <= both - 2 * overlap) & (F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= overlap)
+
+
+def first_lines(keyed: DataFrame, ranks: Column, threshold: float, least: int) -> DataFrame:
+    """``id``, ``line``, ``h``, ``n``, ``bits``, ``prefix`` of the first line of each string with ``least`` words or more."""
 
+    def described(t: Column, k: Column) -> Column:
+        def part(hashes: Column) -> Column:
+            # a prefix keeps 32 bits of a word: words that fall together only make a candidate more
+            short = F.slice(ordered(hashes, ranks), F.lit(1), F.size(hashes) - needed(F.size(hashes), threshold) + 1)
+            return F.when(F.size(hashes) >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), F.size(hashes).cast("int").alias("n"), parity(hashes).alias("bits"), F.transform(short, lambda w: F.hash(w)).alias("prefix")))
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+        return bound(F.array_distinct(F.transform(tokens(t), lambda w: F.xxhash64(w))), part)
+
+    # outer, so that no filter on the generated array is inferred, which would compute it twice
+    each = keyed.select("id", F.inline_outer(F.array_compact(F.transform(lines_of(F.col("text")), described)))).where(F.col("h").isNotNull())
+    first = F.min(F.struct("id", "line"))
+    return each.groupBy("h", "g").agg(first.alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")).select("at.id", "at.line", "h", "n", "bits", "prefix")
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """``id`` and ``line`` of the later line of each of ``pairs(xid, xline, yid, yline)`` that is similar."""
-    ends = pairs.select(F.col("xid").alias("id"), F.col("xline").alias("line")).union(pairs.select("yid", "yline")).distinct()
-    wanted = ends.groupBy("id").agg(F.collect_set("line").alias("wanted"))
-    text = lines.join(wanted, "id").select("id", F.inline(F.filter(F.transform(lines_of(F.col("__text")), lambda t, k: F.struct(k.alias("line"), t.alias("text"))), lambda s: F.array_contains("wanted", s["line"]) & F.array_contains("__first", s["line"]))))
-    sets = text.select("id", "line", word_set(F.col("text")).alias("set")).dropDuplicates(["id", "line"])
-    x, y = (sets.select(F.col("id").alias(f"{s}id"), F.col("line").alias(f"{s}line"), F.col("set").alias(f"{s}set")) for s in "xy")
-    both = pairs.join(x, ["xid", "xline"]).join(y, ["yid", "yline"])
-    shared = both.select("xid", "xline", F.size("xset").alias("xn"), F.size("yset").alias("yn"), F.size(F.array_intersect("xset", "yset")).alias("both"))
-    return shared.where(F.col("both") >= (F.col("xn") + F.col("yn") - F.col("both")) * threshold - 1e-9).select(F.col("xid").alias("id"), F.col("xline").alias("line")).distinct()
+    lines = keyed.select("id", F.posexplode_outer(lines_of(F.col("text"))).alias("line", "t")).where(F.col("t").isNotNull())
+    ends = pairs.select(F.col("xid").alias("id"), F.col("xline").alias("line")).union(pairs.select("yid", "yline"))
+    ends = written(ends.distinct(), "ends")
+    if ends.count() <= BROADCAST_LINES:  # then only these lines' texts are dealt out
+        lines = lines.join(F.broadcast(ends), ["id", "line"], "left_semi")
+    y = pairs.join(lines.select(F.col("id").alias("yid"), F.col("line").alias("yline"), F.col("t").alias("yt")), ["yid", "yline"]).select("xid", "xline", "yt")
+    both = y.join(lines.select(F.col("id").alias("xid"), F.col("line").alias("xline"), F.col("t").alias("xt")), ["xid", "xline"])
+
+    def similar(a: Column, b: Column) -> Column:
+        return bound(F.size(F.array_intersect(a, b)), lambda o: o >= (F.size(a) + F.size(b) - o) * threshold - 1e-9)
+
+    sets = F.array(F.struct(word_set(F.col("xt")).alias("x"), word_set(F.col("yt")).alias("y")))
+    return both.where(F.element_at(F.transform(sets, lambda s: similar(s["x"], s["y"])), 1)).select(F.col("xid").alias("id"), F.col("xline").alias("line")).distinct()
+
+
+def exploded(firsts: DataFrame, side: str) -> DataFrame:
+    rows = firsts.select("id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    return rows.select("word", *(F.col(c).alias(side + c) for c in ("id", "line", "n", "bits", "i")))
+
+
+def frequent_words(firsts: DataFrame, hot: int) -> DataFrame:
+    """``word`` of the prefixes of more than ``hot`` lines."""
+    return firsts.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > hot).select("word")
+
+
+def leading_candidates(x: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """For each line of the frequent words' ``x``, of the earliest lines of those words and of lengths near its own, the one that shares most words."""
+    heads = x.groupBy("word", F.col("xn").alias("yn")).agg(F.min(place(F.col("xid"), F.col("xline"), F.col("xi"))).alias("y")).select("word", "yn", *unplaced(F.col("y"), "y"))
+    bits = firsts.select(F.col("id").alias("yid"), F.col("line").alias("yline"), F.col("bits").alias("ybits"))
+    pairs = x.join(heads.join(bits, ["yid", "yline"]), "word").where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline")
+    shared = pairs.groupBy("xid", "xline", "yid", "yline").agg(F.count("*").alias("c"))
+    return shared.groupBy("xid", "xline").agg(F.max_by(F.struct("yid", "yline"), F.struct("c", (-F.col("yid")).alias("a"), (-F.col("yline")).alias("b"))).alias("y")).select("xid", "xline", "y.*")
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 64) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``n_left`` (lines of ``least`` words or more that stay)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED and c not in (text, id)])
     key = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(key.alias("id"), F.col(text).cast("string").alias("text"))
-    ranks = word_ranks(keyed)
-
-    # the first place of each string: a decimal orders by id, then line, and is aggregated in place
-    each = keyed.select("id", F.posexplode(lines_of(F.col("text"))).alias("line", "t"))
-    place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line")
-    hashed = each.select("id", "line", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), place.alias("place"))
-    firsts = hashed.groupBy("h", "g").agg(F.min("place").alias("place"))
-    line = F.pmod("place", F.lit(1 << 32).cast("decimal(10,0)")).cast("int")
-    first_of = firsts.select(((F.col("place") - line) / F.lit(1 << 32).cast("decimal(10,0)")).cast("long").alias("id"), line.alias("line"), "h")
-    by_doc = first_of.groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("firsts")).withColumnRenamed("id", "__id")
-    own = F.filter(F.transform(lines_of(F.col(text)), lambda t, k: F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"))), lambda s: F.array_contains("firsts", s))
-    marked = docs.withColumn("__key", key).join(by_doc, F.col("__key") == F.col("__id"), "left").drop("__id")
-    marked = written(marked.withColumn("__first", F.when(F.col("firsts").isNull(), F.array().cast("array<int>")).otherwise(F.transform(own, lambda s: s["line"]))).drop("firsts"), "marked")
-
-    lines = marked.select(F.col("__key").alias("id"), F.col(text).cast("string").alias("__text"), "__first")
-    # the lines of a text are split once
-    string = lines.select("id", F.inline(bound(lines_of(F.col("__text")), lambda all_: F.transform("__first", lambda k: F.struct(k.alias("line"), F.get(all_, k).alias("text"))))))
-    sorted_ = string.select("id", "line", ordered(F.col("text"), ranks).alias("set")).where(F.size("set") >= least)
-    short = F.slice("set", F.lit(1), F.size("set") - needed(F.size("set"), threshold) + 1)
-    prefix = written(sorted_.select("id", "line", F.size("set").cast("int").alias("n"), F.posexplode(short).alias("i", "word")).distinct(), "prefixes")
-
-    side = lambda s: [F.col("word"), *(F.col(c).alias(s + c) for c in ("id", "line", "n", "i"))]
-    # the earliest line of each word that many lines share settles most of them
-    heads = prefix.groupBy("word").agg(F.count("*").alias("lines"))
-    heads = prefix.join(heads.where(F.col("lines") > hot).select("word"), "word").groupBy("word", "n").agg(F.min("id").alias("id")).join(prefix, ["word", "n", "id"]).groupBy("word", "n", "id").agg(F.min("line").alias("line"), F.min("i").alias("i"))
-    sizes = F.sequence(needed(F.col("yn"), threshold), F.floor(F.col("yn") / threshold + 1e-9).cast("int"))
-    leaders = heads.select(*side("y")).withColumn("xn", F.explode(sizes))
-    to_leader = prefix.select(*side("x")).join(leaders, ["word", "xn"]).where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline").distinct()
-    settled = written(verified(to_leader, lines, threshold), "settled")
-    asking = prefix.join(settled, ["id", "line"], "left_anti")
-    pairs = asking.select(*side("x")).join(prefix.select(*side("y")), "word").where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline").distinct()
-    found = written(verified(written(pairs, "pairs"), lines, threshold), "found")
-
-    gone = settled.union(found).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    whole = marked.join(gone, F.col("__key") == F.col("__id"), "left")
-    enough = lambda t: F.size(word_set(t)) >= least
-    gone_ = F.coalesce("__gone", F.array().cast("array<int>"))
-    kept = F.filter(F.transform(lines_of(F.col(text)), lambda t, k: F.struct(k.cast("int").alias("k"), t.alias("t"), enough(t).alias("long"))), lambda s: ~s["long"] | (F.array_contains("__first", s["k"]) & ~F.array_contains(gone_, s["k"])))
-    out = whole.withColumn("__kept", kept)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text)))).cast("long")
-    n_left = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter("__kept", lambda s: s["long"]))).cast("long")
-    new = F.when(F.col(text).isNotNull(), F.array_join(F.transform("__kept", lambda s: s["t"]), "\n")).alias(text)
-    return out.select(*[new if c == text else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), (n_lines - F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))).cast("long").alias("n_removed"), n_left.alias("n_left"))
+    keyed = docs.where(F.col(text).isNotNull()).select(key.alias("id"), F.col(text).cast("string").alias("text"))
+    firsts = written(first_lines(keyed, word_ranks(keyed), threshold, least), "firsts", release=True)
+    frequent = written(frequent_words(firsts, hot), "frequent", release=True)
+    some = written(exploded(firsts, "x").join(frequent, "word"), "some", release=True)
+    best = written(leading_candidates(some, firsts, threshold), "leading", release=True)
+    settled = written(verified(best, keyed, threshold), "settled", release=True)
+    other = some.select("word", *(F.col("x" + c).alias("y" + c) for c in ("id", "line", "n", "bits", "i")))
+    asking = some.join(settled.toDF("xid", "xline"), ["xid", "xline"], "left_anti")
+    # both sides of the rest are the same rows, dealt out by word once
+    rare = [exploded(firsts, side).join(frequent, "word", "left_anti") for side in "xy"]
+    near = [x.join(y, "word").where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline") for x, y in ((asking, other), rare)]
+    pairs = written(near[0].union(near[1]).distinct().join(settled.toDF("xid", "xline"), ["xid", "xline"], "left_anti"), "pairs", release=True)
+    found = written(verified(pairs, keyed, threshold), "found", release=True)
+
+    stays = firsts.join(settled.union(found), ["id", "line"], "left_anti").groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("line", "h")).alias("__stays"))
+    whole = docs.withColumn("__key", key).join(stays, F.col("__key") == F.col("__id"), "left").withColumn("__stays", F.coalesce("__stays", F.array().cast("array<struct<line:int,h:bigint>>")))
+    own = lambda k, t: F.array_contains("__stays", F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h")))
+
+    def cut(all_: Column) -> Column:
+        kept = F.filter(F.transform(all_, lambda t, k: F.struct(t.alias("t"), own(k, t).alias("long"))), lambda s: s["long"] | (F.size(word_set(s["t"])) < least))
+        return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda s: s["t"]), "\n").alias("text"), F.size(all_).cast("long").alias("n_lines"), F.size(k).cast("long").alias("n_kept"), F.size(F.filter(k, lambda s: s["long"])).cast("long").alias("n_left")))
+
+    out = whole.withColumn("__new", F.when(F.col(text).isNotNull(), bound(lines_of(F.col(text)), cut)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select(
+        *[F.col("__new.text").alias(text) if c == text else F.col(c) for c in docs.columns], zero(F.col("__new.n_lines")).alias("n_lines"), zero(F.col("__new.n_lines") - F.col("__new.n_kept")).alias("n_removed"), zero(F.col("__new.n_left")).alias("n_left")
+    )
