@@ -97,8 +97,9 @@ def brute_lines(rows, least=5, threshold=0.8):
     return {(i, text): "\n".join(t for k, t in enumerate(text.split("\n")) if (-(1 << 63) if i is None else i, k, t) in kept) for i, text, *_ in rows if text is not None}
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_line_dedup_is_exact(docs, rows, hot):
+@pytest.mark.parametrize(("hot", "most"), [(64, 1_000_000), (2, 0)])
+def test_line_dedup_is_exact(docs, rows, hot, most, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", most)
     want = brute_lines(rows)
     got = linededup.dedup_lines(docs, hot=hot).collect()
     assert len(got) == len(rows)
