@@ -156,3 +156,12 @@ def test_token_bucket(spark):
     rows = spark.createDataFrame([("k", i, float(t)) for i, t in enumerate([0, 0, 0, 10, 10, 100])], "k string, i int, t double")
     got = operations.token_bucket(rows, "k", "t", 0.1, 2.0, "i").orderBy("i").collect()
     assert [g.allowed for g in got] == [True, True, False, True, False, True]
+
+
+def test_intent(spark):
+    from taleweave.functions.intent import intent, variants
+
+    asked = {"整本书的主线": "global", "speak like Rimuru": "imitate", "A和B是什么关系?": "relation", "who is he": "character", "what happened then": "narrative", "where?": "question", "hot springs": "default"}
+    assert {q: one(spark, intent(F.lit(q))).intent for q in asked} == asked
+    assert one(spark, variants(F.lit('<think>x</think>\n1. first\n- "second"\nfirst\nq'), F.lit("q"))) == ["q", "first", "second"]
+    assert one(spark, variants(F.lit(None).cast("string"), F.lit("q"))) == ["q"]
