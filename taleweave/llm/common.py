@@ -65,6 +65,15 @@ def written(df: DataFrame, what: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a list of keys is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def listed(keys: DataFrame) -> DataFrame:
+    """Keys of a written table, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with underscores before it, that no column of ``df`` has (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

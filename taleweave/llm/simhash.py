@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import listed, written
 from .components import components
 
 BITS = 64
@@ -205,15 +205,27 @@ def fingerprint_links(distinct: DataFrame, distance: int, node_rows: int) -> Dat
     return search_nodes(small.union(children), distance)
 
 
+def one_of_each(keyed: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
+    """One row of ``keyed`` (with ``__hash`` of its text) for each root of its ``groups(id, __hash, root)``: that of the smallest id that is not null, of its texts the one with the least hash.
+
+    Most groups are of one row, which stays where it is: only keys of larger groups are looked up.
+    """
+    best = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__hash").alias("hash")))
+    larger = written(groups.groupBy("root").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1").select("root", F.col("best.id").alias("__id"), F.col("best.hash").alias("__best")), "larger")
+    touched = written(groups.join(listed(larger), "root").select(F.col(id).alias("__of"), F.col("__hash").alias("__text"), (F.col(id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__best"))).alias("__keep")).distinct(), "touched")
+    same = F.col(id).eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__text"))
+    alone = keyed.join(listed(touched), same, "left_anti")
+    # rows that repeat id and text
+    once = F.row_number().over(Window.partitionBy(id, "__hash").orderBy(F.lit(1)))
+    first = keyed.join(listed(touched.where("__keep")), same, "left_semi").withColumn("__once", once).where(F.col("__once") == 1).drop("__once")
+    return alone.unionByName(first)
+
+
 def keep_one(docs: DataFrame, *, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id, of its texts the one with the least hash."""
     keyed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    found = simhash_components(keyed, text=text, id=id, carry=("__hash",), **options)
-    kept = found.where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("__id")).agg(F.min("__hash").alias("__least"))
-    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__least"))
-    # rows that repeat id and text
-    once = F.row_number().over(Window.partitionBy(id, "__hash").orderBy(F.lit(1)))
-    return keyed.join(kept, same, "left_semi").withColumn("__once", once).where(F.col("__once") == 1).select(*docs.columns)
+    groups = simhash_components(keyed, text=text, id=id, carry=("__hash",), rooted=True, **options)
+    return one_of_each(keyed, groups, id).select(*docs.columns)
 
 
 def simhash_components(
@@ -226,13 +238,14 @@ def simhash_components(
     distance: int = 2,
     node_rows: int = 4096,
     carry: tuple[str, ...] = (),
+    rooted: bool = False,
 ) -> DataFrame:
-    """``id``, the columns to ``carry``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row."""
+    """``id``, the columns to ``carry``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row; if ``rooted`` also ``root``, which two components never share."""
     rows = written(fingerprints(docs, text=text, keys=(id, *carry), shingle=shingle, seed=seed), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(id).alias("least")), "nodes")
     linked = written(components(fingerprint_links(nodes.select("fp"), distance, node_rows)), "components")
-    rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    under = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = under.groupBy("root").agg(F.min("least").alias("component_id"))
     # most fingerprints stand alone: only linked ones meet in a second shuffle
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(id, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = under.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(of, "fp").select(id, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["root"] * rooted)

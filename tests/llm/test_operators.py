@@ -328,6 +328,15 @@ def test_keep_one_of_each_group(docs, rows):
     assert kept.count() == len(set(of.values()))
 
 
+def test_keep_one_of_components_without_an_id_of_their_own(spark):
+    r = random.Random(9)
+    texts = [prose(r, 60) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0])] * 3 + [(7, t) for t in texts[5:8]] + [(7, texts[5]), (None, texts[8]), (4, texts[8]), (5, texts[9])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(4, texts[8]), (5, texts[9])]
+    assert sorted((str(x.doc_id), x.text) for x in kept) == sorted((str(i), t) for i, t in want)
+
+
 @pytest.mark.parametrize("chunk_rows", [32_768, 4])
 def test_topk_is_exact(spark, chunk_rows):
     r = np.random.default_rng(1)
