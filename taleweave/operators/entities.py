@@ -35,14 +35,20 @@ def near_pairs(names: DataFrame, most: int = 2, head: int = 1) -> DataFrame:
     return x.join(y, ["head", "l"]).where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", most) >= 0)).select("a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
-def contained(texts: DataFrame, names: DataFrame, lengths: list[int]) -> DataFrame:
-    """``id``, ``name``: which of ``names(name)`` with one of ``lengths`` each of ``texts(id, text)`` holds as a substring.
+def contained(texts: DataFrame, names: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """``id``, ``name``: which of ``names(name)`` each of ``texts(id, text)`` holds as a substring; empty names don't count. With ``lengths``, names of other lengths don't either.
 
-    A join by equality on the text's n-grams of those lengths instead of a test of every text with every name.
+    A join by equality on the text's n-grams of the names' lengths instead of a test of every text with every name.
+    The lengths are those that the names have: the driver gets one number for each.
     """
+    known = names.select("name").where(F.length("name") > 0).distinct()
+    if lengths is None:
+        lengths = sorted(r.n for r in known.select(F.length("name").alias("n")).distinct().collect())
+    if not lengths:
+        return texts.select("id").join(known, F.lit(False))
     grams = F.array_distinct(F.concat(*[char_ngrams(F.coalesce(F.col("text"), F.lit("")), n) for n in lengths]))
     each = texts.select("id", grams.alias("grams")).select("id", F.explode("grams").alias("name"))
-    return each.join(names.select("name").where(F.length("name").isin(*lengths)).distinct(), "name").select("id", "name")
+    return each.join(known.where(F.length("name").isin(*lengths)), "name").select("id", "name")
 
 
 def prefer_longest(found: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def lorebook(chronicle_: DataFrame, by: str, entity: str, least: int = 2, most_e
     return ranked.groupBy(by, entity, "period").agg(F.min("first").alias("seq_from"), F.max("last").alias("seq_to"), F.sum("n").alias("events"), text.alias("content")).where(F.col("events") >= least)
 
 
-def activated(texts: DataFrame, entries: DataFrame, lengths: list[int], k: int = 6) -> DataFrame:
+def activated(texts: DataFrame, entries: DataFrame, lengths: list[int] | None = None, k: int = 6) -> DataFrame:
     """``id``, ``rank``, ``entry_id``, ``key`` of ``entries(entry_id, keys, priority, seq_from)`` with a key in ``texts(id, text)``; the first key that is there counts."""
     from .entities import contained
 

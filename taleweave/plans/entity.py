@@ -116,6 +116,14 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.contained(texts, names, [9, 10]).select("id.conv_id", "id.turn", "name")
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark), f AS (SELECT DISTINCT conv_id, turn, name FROM conversations JOIN n ON length(name) >= 2 AND contains(lower(text), name))
+SELECT conv_id, turn, name FROM f WHERE length(name) > 2 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.conv_id = f.conv_id AND g.turn = f.turn AND length(g.name) > 2 AND contains(g.name, f.name))""")
+def containment_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("name")).where(F.length("name") >= 2)
+    texts = talk(spark, sf_dir).select(F.struct("conv_id", "turn").alias("id"), F.lower("text").alias("text"))
+    return en.prefer_longest(en.contained(texts, names)).select("id.conv_id", "id.turn", F.explode("names").alias("name"))
+
+
 @query("WITH c AS (SELECT c_mktsegment AS segment, c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL) SELECT segment, quantile_disc(n, 0.7) AS threshold FROM c GROUP BY segment")
 def percentile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(orders(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_mktsegment").alias("segment"), "c_custkey").agg(F.count("*").alias("n"))

@@ -59,6 +59,16 @@ def lorebook_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return so.activated(texts, entries, [6, 7]).select("id.conv_id", "id.turn", "entry_id", "rank")
 
 
+@query("""WITH n AS (SELECT item_id, list_filter(list_distinct(string_split(lower(text), ' ')), lambda w: length(w) > 0) AS keys FROM benchmark), k AS (SELECT item_id AS entry_id, item_id % 5 AS priority, unnest(keys) AS key FROM n),
+f AS (SELECT DISTINCT conv_id, turn, entry_id, priority FROM conversations JOIN k ON contains(lower(text), key))
+SELECT conv_id, turn, entry_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY priority DESC, entry_id)::INTEGER AS rank FROM f QUALIFY rank <= 6""")
+def lorebook_activation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.array_distinct(F.split(F.lower("text"), " "))
+    entries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), keys.alias("keys"), (F.col("item_id") % 5).alias("priority"), F.lit(0).alias("seq_from"))
+    texts = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.lower("text").alias("text"))
+    return so.activated(texts, entries).select("id.conv_id", "id.turn", "entry_id", "rank")
+
+
 @query("""WITH r AS (SELECT o_orderkey AS pos, c_mktsegment AS source, o_orderpriority AS target, strftime(o_orderdate, '%Y-%m') AS chapter_order FROM orders JOIN customer ON c_custkey = o_custkey),
 m AS (SELECT *, CASE WHEN contains(source, 'AUTO') THEN target ELSE source END AS counterpart FROM r WHERE contains(source, 'AUTO') OR contains(target, 'AUTO'))
 SELECT counterpart, pos, chapter_order FROM m QUALIFY row_number() OVER (PARTITION BY counterpart ORDER BY chapter_order DESC, pos DESC) = 1 ORDER BY chapter_order DESC, counterpart LIMIT 50""")
