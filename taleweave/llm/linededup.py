@@ -9,31 +9,38 @@ string. Shorter lines stay. Whatever else matches, the earliest line of all stay
   lines, and the order is that of the bucket's count, then of the word's hash. Any total order is exact; this
   one needs no vocabulary.
 * Two similar lines share a word among the rarest few of each (the prefix). Prefixes are joined by word, under
-  the length filter and the positional filter: words that stand after the shared one on either side bound
-  the overlap.
-* A set also has 64 parity bits. Sets differ in as many words as their bits do, at least, which drops nearly all
+  the length filter and the positional filter: words that stand before the first shared one have no partner.
+  A pair shows at the start of each run of shared words only.
+* A word of over ``hot`` prefixes doesn't join alone: similar lines share at least two words of the prefix that is
+  one word longer, so such a word joins together with each word after it.
+* A set also has 128 parity bits. Sets differ in as many words as their bits do, at least, which drops nearly all
   candidates that are not similar before any text is fetched.
-* A word in over ``hot`` prefixes would pair each of its lines with each. So first each line meets only the
-  earliest line of each length of such a word; the candidate that shares most words is verified, and settles most
-  lines that have to go. Only lines not settled so meet all others. Verification is on the words themselves.
+* Groups of near copies would pair each line with each. So each line first meets the line that comes before it
+  among those with the same rare word (dealt over ``SALTS`` lists, so that no word fills a task). That settles
+  nearly all lines of a large group; only lines not settled so ask all others. Verification is on the words.
 
 Only DataFrame operations run on texts. Each phase is written to the shared folder, so a lost executor costs
 no more than the phase. A null text stays null; empty lines stay. Rows with one id count as one document:
 lines at equal places of them don't remove each other, so repeated rows get the same result. A null id comes
-before all others. An empty table gives no rows.
+before all others. Ids that aren't integers are ordered as strings. Columns of the input that share a name with
+the three of the result give way to them. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, written
+from . import common
+from .common import listed, written
 
-BUCKETS = 1 << 16
-#: Lines up to which a list of them (16 bytes each) is broadcast.
-BROADCAST_LINES = 1_000_000
+BUCKET_BITS = 17
+SALTS, LEADING = 8, 3
+#: Words from which a line has its second 64 parity bits.
+LONG = 64
 ADDED = ("n_lines", "n_removed", "n_left")
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def lines_of(text: Column) -> Column:
@@ -45,13 +52,20 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of anything but ASCII white space; splitting takes half the time of matching."""
-    return F.array_remove(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+", -1), "")
+def tokens(line: Column) -> Column:
+    """The words of a line in a form in which they are equal just if they are equal but for the case of A-Z; some may be empty.
+
+    The bytes are read as Latin-1 and lower-cased: besides A-Z that changes lead bytes of UTF-8 sequences, always to
+    such of longer sequences, so that different words stay different. It takes a fraction of the time of ``translate``,
+    as does splitting at the space alone where a line has no other white space.
+    """
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\n"))
+    return F.split(F.lower(F.decode(line.cast("binary"), "ISO-8859-1")), F.when(odd, F.lit(SPACE)).otherwise(F.lit(" ")), -1)
 
 
-def word_set(line: Column) -> Column:
-    return F.array_distinct(tokens(line))
+def word_hashes(line: Column) -> Column:
+    """One number for each different word."""
+    return F.array_remove(F.array_distinct(F.transform(tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def needed(n: Column, threshold: float) -> Column:
@@ -59,143 +73,193 @@ def needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
-def word_ranks(texts: DataFrame) -> Column:
-    """An array with the place of each hash bucket by the number of words it holds, over all of ``texts(text)``.
+class Rarity:
+    """Places of hash buckets by the number of words they hold, over all lines, as a constant of the plan.
 
-    The driver gets one number a bucket, and the array becomes a constant of the plan.
+    The driver gets one number a bucket. ``calm`` is the first place of a bucket with over ``hot`` words.
     """
-    word = texts.select(F.explode_outer(tokens(F.col("text"))).alias("w")).where(F.col("w").isNotNull())
-    n = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    held = {r.bucket: r.n for r in n.collect()}
-    ranks = [0] * BUCKETS
-    for place, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (held.get(b, 0), b))):
-        ranks[bucket] = place
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
+    def __init__(self, texts: DataFrame, hot: int) -> None:
+        line = texts.select(F.explode(lines_of(F.col("text"))).alias("t"))
+        hashed = line.select(F.explode(tokens(F.col("t"))).alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket"))
+        held = {r.bucket: r.n for r in hashed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        self.places = [0] * (1 << BUCKET_BITS)
+        order = sorted(range(1 << BUCKET_BITS), key=lambda b: (held.get(b, 0), b))
+        for place, bucket in enumerate(order):
+            self.places[bucket] = place
+        self.calm = sum(held.get(b, 0) <= hot for b in order)
 
-def ordered(hashes: Column, ranks: Column) -> Column:
-    """Words, given by their hashes, as numbers, rarest first."""
-    number = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-    return F.sort_array(F.transform(hashes, number))
+    @staticmethod
+    def bucket(h: Column) -> Column:
+        return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
 
+    def ordered(self, hashes: Column) -> Column:
+        """Words, given by their hashes, as numbers, rarest first."""
+        shift = 63 - BUCKET_BITS
+        high = F.split(F.lit(",".join(str(p << shift) for p in self.places)), ",").cast("array<bigint>")
+        return F.sort_array(F.transform(hashes, lambda h: F.get(high, self.bucket(h)) + F.shiftrightunsigned(h, BUCKET_BITS + 1)))
 
-def parity(hashes: Column) -> Column:
-    """64 bits, each the parity of the words it stands for: two sets differ in as many words as their bits differ, at least."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))))
+    def is_calm(self, number: Column) -> Column:
+        return number < F.lit(min(self.calm << (63 - BUCKET_BITS), (1 << 63) - 1))
 
 
-#: A place as one number that is aggregated in its buffer: id, line, and the position of a word.
-LINE_SPAN, WORD_SPAN = 1 << 31, 1 << 24
-NUMBER = "decimal(38,0)"
+def parity(hashes: Column, part: int | None) -> Column:
+    """64 bits, each the parity of the words it stands for: two sets differ in as many words as their bits differ, at least. ``part``: of the words with that seventh highest bit."""
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))
+    if part is not None:
+        hashes = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(F.lit(1)) == part)
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(one(h)))
 
 
-def place(id: Column, line: Column, i: Column) -> Column:
-    return (id.cast("decimal(20,0)") * F.lit(LINE_SPAN).cast("decimal(10,0)") + line).cast("decimal(30,0)") * F.lit(WORD_SPAN).cast("decimal(8,0)") + i
+def packed(high: Column, low: Column) -> Column:
+    """Two numbers of 32 bits as one."""
+    return F.call_function("shiftleft", high.cast("bigint"), F.lit(32)).bitwiseOR(low.cast("bigint"))
 
 
-def unplaced(number: Column, prefix: str) -> list[Column]:
-    """Columns id, line and i of a place."""
-    word, line = F.lit(WORD_SPAN).cast("decimal(8,0)"), F.lit(LINE_SPAN).cast("decimal(10,0)")
-    i = F.pmod(number, word)
-    rest = ((number - i) / word).cast(NUMBER)
-    k = F.pmod(rest, line)
-    return [((rest - k) / line).cast("long").alias(prefix + "id"), k.cast("int").alias(prefix + "line"), i.cast("int").alias(prefix + "i")]
+def high(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
 
 
-def later(x: str, y: str) -> Column:
-    return (F.col(f"{x}id") > F.col(f"{y}id")) | ((F.col(f"{x}id") == F.col(f"{y}id")) & (F.col(f"{x}line") > F.col(f"{y}line")))
+def low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
-def close_enough(threshold: float) -> Column:
-    """The length filter, the parity filter, and the positional filter on a shared word at xi of xn and yi of yn."""
-    both = F.col("xn") + F.col("yn")
-    overlap = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    lengths = (F.col("yn") >= F.col("xn") * threshold - 1e-9) & (F.col("xn") >= F.col("yn") * threshold - 1e-9)
-    unlike = F.bit_count(F.col("xbits").bitwiseXOR(F.col("ybits")))
-    return lengths & (unlike <= both - 2 * overlap) & (F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= overlap)
+def close_enough(xn: Column, yn: Column, x_at: Column, y_at: Column, threshold: float) -> Column:
+    """The length filter, the positional filter on the first shared word, at x_at and y_at, and the parity filter."""
+    both = xn + yn
+    differ = both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+    lengths = (F.least(xn, yn) >= F.greatest(xn, yn) * threshold - 1e-9) & (x_at + y_at <= differ)
+    first, more = F.col("xbits").bitwiseXOR(F.col("ybits")), F.col("xmore").bitwiseXOR(F.col("ymore"))
+    return lengths & F.when((xn >= LONG) & (yn >= LONG), F.bit_count(first) + F.bit_count(more) <= differ).otherwise(F.bit_count(first.bitwiseXOR(more)) <= differ)
 
 
-def first_lines(keyed: DataFrame, ranks: Column, threshold: float, least: int) -> DataFrame:
-    """``id``, ``line``, ``h``, ``n``, ``bits``, ``prefix`` of the first line of each string with ``least`` words or more."""
+def later(x: str, y: str) -> Column:
+    return (F.col(f"{x}id") > F.col(f"{y}id")) | ((F.col(f"{x}id") == F.col(f"{y}id")) & (high(F.col(f"{x}ln")) > high(F.col(f"{y}ln"))))
+
+
+def first_lines(keyed: DataFrame, rarity: Rarity, threshold: float, least: int) -> DataFrame:
+    """Of each string with ``least`` words or more the first place ``id``, ``line``, the hashes ``h`` and ``g``, how many ``copies`` it has, its number of words ``n``, ``bits`` and ``more``, its prefix and one word more, rarest first, and how many of these are ``calm``, that is surely in few lines."""
 
     def described(t: Column, k: Column) -> Column:
         def part(hashes: Column) -> Column:
+            n = F.size(hashes)
+            longer = F.slice(rarity.ordered(hashes), F.lit(1), F.least(n, n - needed(n, threshold) + 2))
             # a prefix keeps 32 bits of a word: words that fall together only make a candidate more
-            short = F.slice(ordered(hashes, ranks), F.lit(1), F.size(hashes) - needed(F.size(hashes), threshold) + 1)
-            return F.when(F.size(hashes) >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), F.size(hashes).cast("int").alias("n"), parity(hashes).alias("bits"), F.transform(short, lambda w: F.hash(w)).alias("prefix")))
+            prefix = bound(longer, lambda p: F.struct(F.transform(p, lambda w: F.hash(w)).alias("prefix"), F.size(F.filter(p, rarity.is_calm)).alias("calm")))
+            many = n >= LONG
+            bits = F.when(many, parity(hashes, 0)).otherwise(parity(hashes, None))
+            more = F.when(many, parity(hashes, 1)).otherwise(F.lit(0).cast("bigint"))
+            return F.when(n >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("p")))
 
-        return bound(F.array_distinct(F.transform(tokens(t), lambda w: F.xxhash64(w))), part)
+        return bound(word_hashes(t), part)
 
     # outer, so that no filter on the generated array is inferred, which would compute it twice
     each = keyed.select("id", F.inline_outer(F.array_compact(F.transform(lines_of(F.col("text")), described)))).where(F.col("h").isNotNull())
-    first = F.min(F.struct("id", "line"))
-    return each.groupBy("h", "g").agg(first.alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")).select("at.id", "at.line", "h", "n", "bits", "prefix")
+    rest = [F.first(c).alias(c) for c in ("n", "bits", "more", "p")]
+    first = each.groupBy("h", "g").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("copies"), *rest)
+    return first.select("at.id", "at.line", "h", "g", "copies", "n", "bits", "more", "p.prefix", "p.calm")
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
-    """``id`` and ``line`` of the later line of each of ``pairs(xid, xline, yid, yline)`` that is similar."""
-    lines = keyed.select("id", F.posexplode_outer(lines_of(F.col("text"))).alias("line", "t")).where(F.col("t").isNotNull())
+    """``id``, ``line``, ``h`` and ``g`` of the later line of each of ``pairs(xid, xline, yid, yline)`` that is similar."""
     ends = pairs.select(F.col("xid").alias("id"), F.col("xline").alias("line")).union(pairs.select("yid", "yline"))
     ends = written(ends.distinct(), "ends")
-    if ends.count() <= BROADCAST_LINES:  # then only these lines' texts are dealt out
-        lines = lines.join(F.broadcast(ends), ["id", "line"], "left_semi")
-    y = pairs.join(lines.select(F.col("id").alias("yid"), F.col("line").alias("yline"), F.col("t").alias("yt")), ["yid", "yline"]).select("xid", "xline", "yt")
-    both = y.join(lines.select(F.col("id").alias("xid"), F.col("line").alias("xline"), F.col("t").alias("xt")), ["xid", "xline"])
-
-    def similar(a: Column, b: Column) -> Column:
-        return bound(F.size(F.array_intersect(a, b)), lambda o: o >= (F.size(a) + F.size(b) - o) * threshold - 1e-9)
-
-    sets = F.array(F.struct(word_set(F.col("xt")).alias("x"), word_set(F.col("yt")).alias("y")))
-    return both.where(F.element_at(F.transform(sets, lambda s: similar(s["x"], s["y"])), 1)).select(F.col("xid").alias("id"), F.col("xline").alias("line")).distinct()
-
-
-def exploded(firsts: DataFrame, side: str) -> DataFrame:
-    rows = firsts.select("id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    return rows.select("word", *(F.col(c).alias(side + c) for c in ("id", "line", "n", "bits", "i")))
-
-
-def frequent_words(firsts: DataFrame, hot: int) -> DataFrame:
-    """``word`` of the prefixes of more than ``hot`` lines."""
-    return firsts.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > hot).select("word")
-
-
-def leading_candidates(x: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """For each line of the frequent words' ``x``, of the earliest lines of those words and of lengths near its own, the one that shares most words."""
-    heads = x.groupBy("word", F.col("xn").alias("yn")).agg(F.min(place(F.col("xid"), F.col("xline"), F.col("xi"))).alias("y")).select("word", "yn", *unplaced(F.col("y"), "y"))
-    bits = firsts.select(F.col("id").alias("yid"), F.col("line").alias("yline"), F.col("bits").alias("ybits"))
-    pairs = x.join(heads.join(bits, ["yid", "yline"]), "word").where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline")
-    shared = pairs.groupBy("xid", "xline", "yid", "yline").agg(F.count("*").alias("c"))
-    return shared.groupBy("xid", "xline").agg(F.max_by(F.struct("yid", "yline"), F.struct("c", (-F.col("yid")).alias("a"), (-F.col("yline")).alias("b"))).alias("y")).select("xid", "xline", "y.*")
-
-
-def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 64) -> DataFrame:
+    lines = keyed.select("id", F.posexplode_outer(lines_of(F.col("text"))).alias("line", "t")).where(F.col("t").isNotNull())
+    lines = lines.join(listed(ends), ["id", "line"], "left_semi")
+    both = pairs.join(lines.toDF("yid", "yline", "yt"), ["yid", "yline"]).join(lines.toDF("xid", "xline", "xt"), ["xid", "xline"])
+    sets = F.array(F.struct(F.array_remove(F.array_distinct(tokens(F.col("xt"))), "").alias("x"), F.array_remove(F.array_distinct(tokens(F.col("yt"))), "").alias("y")))
+
+    def similar(s: Column) -> Column:
+        return bound(F.size(F.array_intersect(s["x"], s["y"])), lambda o: o >= (F.size(s["x"]) + F.size(s["y"]) - o) * threshold - 1e-9)
+
+    return both.where(F.element_at(F.transform(sets, similar), 1)).select(F.col("xid").alias("id"), F.col("xline").alias("line"), F.xxhash64("xt").alias("h"), F.xxhash64(F.lit(1), "xt").alias("g")).distinct()
+
+
+def neighbours(firsts: DataFrame, threshold: float) -> DataFrame:
+    """Each line with the one before it, by place, of those with one of its rarest words, if they may be similar."""
+    salt = F.pmod(F.xxhash64("id", "line"), F.lit(SALTS))
+    rows = firsts.select("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more", F.explode(F.transform(F.slice("prefix", 1, LEADING), lambda w: F.xxhash64(w, salt))).alias("key"))
+    before = Window.partitionBy("key").orderBy("id", "ln")
+    x = rows.select(*(F.col(c).alias("x" + c) for c in ("id", "ln", "bits", "more")), *(F.lag(c).over(before).alias("y" + c) for c in ("id", "ln", "bits", "more")))
+    near = x.where(F.col("yid").isNotNull() & later("x", "y") & close_enough(low(F.col("xln")), low(F.col("yln")), F.lit(0), F.lit(0), threshold))
+    return near.select("xid", high(F.col("xln")).alias("xline"), "yid", high(F.col("yln")).alias("yline")).distinct()
+
+
+def postings(asked: DataFrame, firsts: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """``key``, ``id``, ``ln`` (line and words), ``pi`` (the word before and, twice, the place of the word; odd if the line asks), ``bits``, ``more``."""
+    known = ("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more")
+    own = F.col("n") - needed(F.col("n"), threshold) + 1
+    about = lambda before, i: packed(before, i * 2 + F.col("asks").cast("int"))
+    frequent = written(firsts.select(F.explode(F.slice("prefix", F.col("calm") + 1, F.size("prefix"))).alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > hot).select("word"), "frequent")
+    before = lambda i: F.coalesce(F.get("prefix", i - 1), F.lit(0))
+    # the first word has none before it: a number that no pair has in common stands for it
+    each = F.transform(F.slice("prefix", F.lit(1), own), lambda w, i: F.struct(w.alias("word"), i.alias("i"), before(i).alias("before")))
+    alone = asked.select(*known, "asks", F.inline(each)).select("word", *known[:1], "ln", "bits", "more", about(F.col("before"), F.col("i")).alias("pi"))
+    if frequent.isEmpty():
+        return alone.select(F.col("word").cast("bigint").alias("key"), "id", "ln", "pi", "bits", "more")
+    alone = alone.join(listed(frequent), "word", "left_anti").select(F.col("word").cast("bigint").alias("key"), "id", "ln", "pi", "bits", "more")
+    places = asked.where(F.col("calm") < F.size("prefix")).select("h", "g", *known, "asks", "prefix", F.posexplode("prefix").alias("i", "word")).join(listed(frequent), "word", "left_semi")
+    lines = places.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("id", "ln", "bits", "more", "asks", "prefix")), F.collect_set("i").alias("at"))
+    twos = F.flatten(F.transform("at", lambda i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b: F.struct(i.alias("i"), F.xxhash64(F.get("prefix", i), b).alias("key")))))
+    by_two = lines.select("id", "ln", "bits", "more", "asks", F.inline(twos)).select("key", "id", "ln", packed(F.lit(0), F.col("i") * 2 + F.col("asks").cast("int")).alias("pi"), "bits", "more")
+    return alone.union(by_two)
+
+
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of an asking line and an earlier one that share a key and may be similar."""
+    x, y = (rows.toDF("key", *(side + c for c in ("id", "ln", "pi", "bits", "more"))) for side in "xy")
+    xi, yi = low(F.col("xpi")), low(F.col("ypi"))
+    # of both sides, lest one side be filtered before the rows are dealt out, which would deal them out twice
+    asks = (xi.bitwiseAND(F.lit(1)) == 1) | (yi < 0)
+    # at 0 there is no word before
+    starts = (high(F.col("xpi")) != high(F.col("ypi"))) | (xi < 2) | (yi < 2) | (high(F.col("xpi")) == 0)
+    near = close_enough(low(F.col("xln")), low(F.col("yln")), F.shiftright(xi, 1), F.shiftright(yi, 1), threshold)
+    return x.join(y, "key").where(later("x", "y") & asks & starts & near).select("xid", high(F.col("xln")).alias("xline"), "yid", high(F.col("yln")).alias("yline")).distinct()
+
+
+def key_of(id: Column, kind: T.DataType) -> Column:
+    """An id that is never null: null comes first."""
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(id.cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(F.concat(F.lit("1"), id.cast("string")), F.lit("0"))
+
+
+def many_words(line: Column, least: int) -> Column:
+    """Whether a line has ``least`` different words: most lines show it in their first words."""
+    some = F.substring(line, 1, 24 * least)
+    enough = F.size(F.array_distinct(tokens(some))) > least + 1  # the last can be cut, one can be empty
+    return enough | (F.size(word_hashes(line)) >= least)
+
+
+def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 1024) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``n_left`` (lines of ``least`` words or more that stay)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED and c not in (text, id)])
-    key = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.where(F.col(text).isNotNull()).select(key.alias("id"), F.col(text).cast("string").alias("text"))
-    firsts = written(first_lines(keyed, word_ranks(keyed), threshold, least), "firsts", release=True)
-    frequent = written(frequent_words(firsts, hot), "frequent", release=True)
-    some = written(exploded(firsts, "x").join(frequent, "word"), "some", release=True)
-    best = written(leading_candidates(some, firsts, threshold), "leading", release=True)
-    settled = written(verified(best, keyed, threshold), "settled", release=True)
-    other = some.select("word", *(F.col("x" + c).alias("y" + c) for c in ("id", "line", "n", "bits", "i")))
-    asking = some.join(settled.toDF("xid", "xline"), ["xid", "xline"], "left_anti")
-    # both sides of the rest are the same rows, dealt out by word once
-    rare = [exploded(firsts, side).join(frequent, "word", "left_anti") for side in "xy"]
-    near = [x.join(y, "word").where(later("x", "y") & close_enough(threshold)).select("xid", "xline", "yid", "yline") for x, y in ((asking, other), rare)]
-    pairs = written(near[0].union(near[1]).distinct().join(settled.toDF("xid", "xline"), ["xid", "xline"], "left_anti"), "pairs", release=True)
-    found = written(verified(pairs, keyed, threshold), "found", release=True)
-
-    stays = firsts.join(settled.union(found), ["id", "line"], "left_anti").groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("line", "h")).alias("__stays"))
-    whole = docs.withColumn("__key", key).join(stays, F.col("__key") == F.col("__id"), "left").withColumn("__stays", F.coalesce("__stays", F.array().cast("array<struct<line:int,h:bigint>>")))
-    own = lambda k, t: F.array_contains("__stays", F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h")))
+    key, whole = key_of(F.col(id), docs.schema[id].dataType), F.xxhash64(F.col(text).cast("string"))
+    keyed = docs.where(F.col(text).isNotNull()).select(key.alias("id"), whole.alias("of"), F.col(text).cast("string").alias("text"))
+    firsts = written(first_lines(keyed, Rarity(keyed, hot), threshold, least), "firsts")
+    place = ["id", "line", "h", "g"]
+    settled = written(verified(written(neighbours(firsts, threshold), "neighbours"), keyed, threshold).join(firsts.select(*place), place, "left_semi"), "settled")
+    asked = firsts.join(listed(settled.withColumn("settled", F.lit(True))), place, "left").withColumn("asks", F.col("settled").isNull())
+    pairs = written(candidates(postings(asked, firsts, threshold, hot), threshold), "pairs")
+    found = written(settled.union(verified(pairs, keyed, threshold)).distinct(), "found")
+
+    # strings of which a line goes: those with copies, and those like an earlier one
+    fate = firsts.join(listed(found.withColumn("goes", F.lit(True))), place, "left").where((F.col("copies") > 1) | F.col("goes")).select("h", "g", F.col("id").alias("at"), F.col("line").alias("at_line"), F.coalesce("goes", F.lit(False)).alias("goes"))
+    hashes = F.transform(lines_of(F.col("text")), lambda t, k: F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g")))
+    occurs = keyed.select("id", "of", F.inline(hashes)).join(listed(written(fate, "fate")), ["h", "g"])
+    going = occurs.where(F.col("goes") | (F.col("id") != F.col("at")) | (F.col("line") != F.col("at_line")))
+    going = written(going.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_set("line").alias("__going")), "going")
+    if (going.agg(F.sum(F.size("__going"))).first()[0] or 0) <= common.BROADCAST_ROWS:  # then no text is dealt out
+        going = F.broadcast(going)
+
+    out = docs.withColumns({"__key": key, "__whole": whole}).join(going, (F.col("__key") == F.col("__id")) & (F.col("__whole") == F.col("__of")), "left")
 
     def cut(all_: Column) -> Column:
-        kept = F.filter(F.transform(all_, lambda t, k: F.struct(t.alias("t"), own(k, t).alias("long"))), lambda s: s["long"] | (F.size(word_set(s["t"])) < least))
-        return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda s: s["t"]), "\n").alias("text"), F.size(all_).cast("long").alias("n_lines"), F.size(k).cast("long").alias("n_kept"), F.size(F.filter(k, lambda s: s["long"])).cast("long").alias("n_left")))
-
-    out = whole.withColumn("__new", F.when(F.col(text).isNotNull(), bound(lines_of(F.col(text)), cut)))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(
-        *[F.col("__new.text").alias(text) if c == text else F.col(c) for c in docs.columns], zero(F.col("__new.n_lines")).alias("n_lines"), zero(F.col("__new.n_lines") - F.col("__new.n_kept")).alias("n_removed"), zero(F.col("__new.n_left")).alias("n_left")
-    )
+        stay = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "__going")
+        left = F.when(F.col("__going").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.get(all_, k)), "\n"))
+        return F.struct(left.alias("text"), F.size(all_).alias("n"), F.size(F.filter(all_, lambda t: many_words(t, least))).alias("long"))
+
+    out = out.withColumn("__new", F.when(F.col(text).isNotNull(), bound(lines_of(F.col(text).cast("string")), cut)))
+    gone = F.coalesce(F.size("__going"), F.lit(0))
+    counts = {"n_lines": F.col("__new.n"), "n_removed": F.when(F.col(text).isNotNull(), F.greatest(gone, F.lit(0))), "n_left": F.col("__new.long") - F.greatest(gone, F.lit(0))}
+    return out.select(*[F.col("__new.text").alias(text) if c == text else F.col(c) for c in docs.columns], *(F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counts.items()))

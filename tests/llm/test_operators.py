@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taleweave.llm import decontaminate, html_extract, langid, licenses, linededup, mixing, pii, simhash, token_counts, topk
+from taleweave.llm import common, decontaminate, html_extract, langid, licenses, linededup, mixing, pii, simhash, token_counts, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ta", "re", "mo", "li", "su", "ke", "no") for b in ("ran", "tel", "vis", "dor", "mul", "pas", "gin", "o", "a")]
@@ -97,9 +97,9 @@ def brute_lines(rows, least=5, threshold=0.8):
     return {(i, text): "\n".join(t for k, t in enumerate(text.split("\n")) if (-(1 << 63) if i is None else i, k, t) in kept) for i, text, *_ in rows if text is not None}
 
 
-@pytest.mark.parametrize(("hot", "most"), [(64, 1_000_000), (2, 0)])
+@pytest.mark.parametrize(("hot", "most"), [(1024, 1_000_000), (2, 0), (1, 1_000_000)])
 def test_line_dedup_is_exact(docs, rows, hot, most, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_LINES", most)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     want = brute_lines(rows)
     got = linededup.dedup_lines(docs, hot=hot).collect()
     assert len(got) == len(rows)
@@ -111,6 +111,47 @@ def test_line_dedup_is_exact(docs, rows, hot, most, monkeypatch):
     assert sum(x.n_removed for x in got) == sum(len(t.split("\n")) - (len(want[i, t].split("\n")) if want[i, t] or t == "" else 0) for i, t, *_ in rows if t is not None)
 
 
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_line_dedup_of_near_copies(spark, hot):
+    """Lines of few common words and of many words, with changed, missing and added words, in all cases and scripts."""
+    r = random.Random(5)
+    common_words = ["the", "of", "in", "and", "to", "is", "État", "état", "ÉTAT", "Жуки", "жуки", "中文", "Das", "das"]
+    lines = []
+    for k in range(60):
+        base = [r.choice(common_words) if r.random() < 0.4 else f"w{r.randrange(400)}" for _ in range(r.choice([5, 6, 7, 12, 40, 70, 90]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randrange(0, 1 + len(w) // 5)):
+                at = r.randrange(len(w))
+                w[at : at + r.randrange(2)] = [r.choice([w[at].upper(), w[at].capitalize(), f"x{r.randrange(50)}"])]
+            lines.append(r.choice([" ", "  ", "\t", " \r"]).join(w))
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[k : k + 3])) for i, k in enumerate(range(0, len(lines), 3))]
+    want = brute_lines(rows)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    assert {x.doc_id: x.text for x in got} == {i: want[i, t] for i, t in rows}
+    assert sum(x.n_removed for x in got) > 50
+
+
+def test_line_dedup_of_other_ids(spark):
+    same, other = "one two three four five six", "quite other words stand in this one"
+    rows = [("b", same), ("a", f"{other}\n{same}"), (None, other), ("", "short line\n" + other), ("c", None)]
+    got = {x.doc_id: x for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: x.text for k, x in got.items()} == {"b": "", "a": same, None: other, "": "short line", "c": None}
+    assert [got["a"][c] for c in ("n_lines", "n_removed", "n_left")] == [2, 1, 1] and got["c"].n_lines == got["c"].n_left == 0
+    # rows of one id are one document: equal lines at equal places don't remove each other, others do
+    nulls = [(None, f"{same}\n{k} a b c d e f g"[: 40 + k]) for k in range(3)] + [(None, "x\n" + same)]
+    got = linededup.dedup_lines(spark.createDataFrame(nulls, "doc_id long, text string")).collect()
+    assert sorted(x.n_removed for x in got) == sorted(len(t.split("\n")) - len(brute_lines(nulls)[None, t].split("\n")) for _, t in nulls)
+
+
+def test_line_dedup_of_a_long_text(spark):
+    text = "\n".join(f"line {k} has words like {k * 7} and {k * 13} in it" for k in range(100_000))
+    rows = [(1, text), (2, text), (3, " ".join(["word", "other"] * 200_000))]
+    got = {x.doc_id: x for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.95).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 100_000, 0) and got[2].text == "" and got[3].n_left == 0
+
+
 def test_licenses(spark):
     texts = ["Under the MIT License. And under, the: mit license!", "Licensed under the Apache License, Version 2.0.", "licensed under CC BY-NC 4.0", "free software under the gnu", None, "", "This work is licensed under the GNU General Public License, version 3.", "the license of mit under the"]
     got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
