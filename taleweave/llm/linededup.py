@@ -6,7 +6,7 @@ string. Shorter lines stay. Whatever else matches, the earliest line of all stay
 
 * Equal lines are brought together by a 128-bit hash; only the first of each goes on, with its prefix.
 * Words of a line are ordered by rarity: words fall into a fixed number of hash buckets, counted over all
-  lines, and the order is that of the bucket's count, then of the word's hash. Any total order is exact; this
+  lines, and the order is that of the bucket's count, roughly, then of the word's hash. Any total order is exact; this
   one needs no vocabulary.
 * Two similar lines share a word among the rarest few of each (the prefix). Prefixes are joined by word, under
   the length filter and the positional filter: words that stand before the first shared one have no partner.
@@ -22,18 +22,20 @@ string. Shorter lines stay. Whatever else matches, the earliest line of all stay
 Only DataFrame operations run on texts. Each phase is written to the shared folder, so a lost executor costs
 no more than the phase. A null text stays null; empty lines stay. Rows with one id count as one document:
 lines at equal places of them don't remove each other, so repeated rows get the same result. A null id comes
-before all others. Ids that aren't integers are ordered as strings. Columns of the input that share a name with
-the three of the result give way to them. An empty table gives no rows.
+before all others. Ids that aren't integers are ordered as strings. Columns of the input stay as they are; an added
+column whose name is taken has underscores before it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import listed, written
+from .common import free_name, listed, written
 
 BUCKET_BITS = 17
 SALTS, LEADING = 8, 3
@@ -59,7 +61,7 @@ def tokens(line: Column) -> Column:
     such of longer sequences, so that different words stay different. It takes a fraction of the time of ``translate``,
     as does splitting at the space alone where a line has no other white space.
     """
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\n"))
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
     return F.split(F.lower(F.decode(line.cast("binary"), "ISO-8859-1")), F.when(odd, F.lit(SPACE)).otherwise(F.lit(" ")), -1)
 
 
@@ -74,33 +76,36 @@ def needed(n: Column, threshold: float) -> Column:
 
 
 class Rarity:
-    """Places of hash buckets by the number of words they hold, over all lines, as a constant of the plan.
+    """Hash buckets by the number of words they hold, over all texts, as a constant of the plan.
 
-    The driver gets one number a bucket. ``calm`` is the first place of a bucket with over ``hot`` words.
+    The driver gets one number a bucket. A bucket's level is the logarithm of its count of two in eighths, so
+    that the constant is short; words of one level are in the order of their hashes. ``calm`` is the first level
+    that buckets of over ``hot`` words can have.
     """
 
     def __init__(self, texts: DataFrame, hot: int) -> None:
-        line = texts.select(F.explode(lines_of(F.col("text"))).alias("t"))
-        hashed = line.select(F.explode(tokens(F.col("t"))).alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket"))
-        held = {r.bucket: r.n for r in hashed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-        self.places = [0] * (1 << BUCKET_BITS)
-        order = sorted(range(1 << BUCKET_BITS), key=lambda b: (held.get(b, 0), b))
-        for place, bucket in enumerate(order):
-            self.places[bucket] = place
-        self.calm = sum(held.get(b, 0) <= hot for b in order)
+        words = F.explode(tokens(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))))
+        counts = texts.select(words.alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+        self.levels = [0] * (1 << BUCKET_BITS)
+        for r in counts.collect():
+            self.levels[r.bucket] = self.level(r.n)
+        self.calm = self.level(hot)
+
+    @staticmethod
+    def level(n: int) -> int:
+        return int(8 * math.log2(n + 1))
 
     @staticmethod
     def bucket(h: Column) -> Column:
         return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
 
     def ordered(self, hashes: Column) -> Column:
-        """Words, given by their hashes, as numbers, rarest first."""
-        shift = 63 - BUCKET_BITS
-        high = F.split(F.lit(",".join(str(p << shift) for p in self.places)), ",").cast("array<bigint>")
-        return F.sort_array(F.transform(hashes, lambda h: F.get(high, self.bucket(h)) + F.shiftrightunsigned(h, BUCKET_BITS + 1)))
+        """Words, given by their hashes, as numbers, rarest first: the level in the 9 highest bits below the sign, then of the hash all but its lowest 10 bits."""
+        levels = F.split(F.lit(",".join(map(str, self.levels))), ",").cast("array<bigint>")
+        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, self.bucket(h)), 54).bitwiseXOR(F.shiftrightunsigned(h, 10))))
 
     def is_calm(self, number: Column) -> Column:
-        return number < F.lit(min(self.calm << (63 - BUCKET_BITS), (1 << 63) - 1))
+        return number < F.lit(min(self.calm << 54, (1 << 63) - 1))
 
 
 def parity(hashes: Column, part: int | None) -> Column:
@@ -226,14 +231,14 @@ def key_of(id: Column, kind: T.DataType) -> Column:
 
 def many_words(line: Column, least: int) -> Column:
     """Whether a line has ``least`` different words: most lines show it in their first words."""
-    some = F.substring(line, 1, 24 * least)
+    some = F.substring(line, 1, 16 * least)
     enough = F.size(F.array_distinct(tokens(some))) > least + 1  # the last can be cut, one can be empty
     return enough | (F.size(word_hashes(line)) >= least)
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 1024) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``n_left`` (lines of ``least`` words or more that stay)."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED and c not in (text, id)])
+    named = {c: free_name(docs, c) for c in ADDED}
     key, whole = key_of(F.col(id), docs.schema[id].dataType), F.xxhash64(F.col(text).cast("string"))
     keyed = docs.where(F.col(text).isNotNull()).select(key.alias("id"), whole.alias("of"), F.col(text).cast("string").alias("text"))
     firsts = written(first_lines(keyed, Rarity(keyed, hot), threshold, least), "firsts")
@@ -262,4 +267,4 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", thre
     out = out.withColumn("__new", F.when(F.col(text).isNotNull(), bound(lines_of(F.col(text).cast("string")), cut)))
     gone = F.coalesce(F.size("__going"), F.lit(0))
     counts = {"n_lines": F.col("__new.n"), "n_removed": F.when(F.col(text).isNotNull(), F.greatest(gone, F.lit(0))), "n_left": F.col("__new.long") - F.greatest(gone, F.lit(0))}
-    return out.select(*[F.col("__new.text").alias(text) if c == text else F.col(c) for c in docs.columns], *(F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counts.items()))
+    return out.select(*[F.col("__new.text").alias(text) if c == text else F.col(c) for c in docs.columns], *(F.coalesce(v, F.lit(0)).cast("long").alias(named[k]) for k, v in counts.items()))
