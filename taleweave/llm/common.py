@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,27 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="taleweave-")
     sc.setCheckpointDir(made)
     return made
 
 
-def written(df: DataFrame, what: str, release: bool = False) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and any executor can reread it.
-
-    With ``release``, shuffle files of the finished job go at once: Spark deletes them when the driver's JVM has
-    collected what refers to them, which else may be long after.
-    """
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/taleweave-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    for _ in range(2 * release):
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.1)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ Documents are probed whole, in one pass. The signatures hold about a fifth of th
 Spark broadcasts them only if they are small. Null texts hold nothing and are clean; an item of fewer words
 than a shingle is one shingle, which a document of the same few words holds. Null items match nothing. Items
 that repeat a text are all listed. Repeated rows get the same result each. Empty tables give clean documents,
-or no rows.
+or no rows. Columns of the input stay as they are; an added column whose name is taken has underscores before it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words, written
+from .common import ascii_lower, free_name, words, written
 
 RESULT = ("contaminated", "n_items", "containment", "item_ids")
 
@@ -62,7 +62,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str, id: str, item
     counted = both.groupBy("__id", "__text", "item", "n").agg(F.count("*").alias("held")).join(wanted, same & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
     sure = counted.withColumn("share", F.col("held") / F.col("n")).where(F.col("held") >= F.col("n") * threshold - 1e-9)
     listed = F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda x: x.cast("string")), ",")
-    return sure.groupBy("__id", "__text").agg(F.count("*").alias("n_items"), F.max("share").alias("containment"), listed.alias("item_ids"))
+    return sure.groupBy("__id", "__text").agg(F.count("*").alias("__items"), F.max("share").alias("__share"), listed.alias("__ids"))
 
 
 def decontaminate(
@@ -78,9 +78,8 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with ``contaminated``, ``n_items``, ``containment`` (the largest) and ``item_ids`` (sorted, comma-joined)."""
     assert 0 < threshold <= 1 and shingle > 0 and not math.isnan(threshold)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT and c not in (text, id)])
+    named = {c: free_name(docs, c) for c in RESULT}
     bad = contamination(docs, items, text=text, id=id, item_id=item_id, item_text=item_text, shingle=shingle, threshold=threshold)
     joined = docs.withColumn("__h", F.xxhash64(F.col(text))).join(bad, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__text")), "left")
-    return joined.select(
-        *docs.columns, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.coalesce("item_ids", F.lit("")).alias("item_ids")
-    )
+    added = {"contaminated": F.col("__items").isNotNull(), "n_items": F.coalesce("__items", F.lit(0)).cast("long"), "containment": F.coalesce("__share", F.lit(0.0)), "item_ids": F.coalesce("__ids", F.lit(""))}
+    return joined.select(*docs.columns, *(v.alias(named[k]) for k, v in added.items()))

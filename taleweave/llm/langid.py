@@ -39,14 +39,16 @@ def folded(data: bytes, order: int) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, rows: int, size: int) -> DataFrame:
-    """At most ``rows`` texts a language, in the order of a hash, until ``size`` bytes are reached."""
+    """At most ``rows`` different texts a language, in the order of a hash, until ``size`` bytes are reached."""
     kept = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counted = written(kept.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    hashed = kept.withColumn("h", F.xxhash64("text"))
+    # copies count once: else one text with many of them could fill the sample, or keep all others out
+    counted = written(hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "labels")
     if counted.count() <= BROADCAST_LABELS:  # else the join would deal all texts out by language
         counted = F.broadcast(counted)
-    hashed = kept.withColumn("h", F.xxhash64("text"))
     # a hash threshold first, so that the window sees about twice the rows it keeps and no more
     near = hashed.join(counted, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * rows / F.col("n"))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return near.withColumn("r", F.row_number().over(order)).withColumn("before", before).where((F.col("r") <= rows) & (F.col("before") < size)).select("lang", "text")

@@ -29,22 +29,37 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Statements of public licenses and how texts usually refer to them.
 TEMPLATES = (
     ("released under the mit license", "mit"),
+    ("released under the terms of the mit license", "mit"),
+    ("spdx license identifier mit", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
+    ("spdx license identifier apache 2 0", "apache-2"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
     ("under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gpl-3"),
+    ("spdx license identifier gpl 3 0", "gpl-3"),
+    ("gnu general public license version 3 29 june 2007", "gpl-3"),
     ("licensed under the gnu general public license version 2", "gpl-2"),
+    ("spdx license identifier gpl 2 0", "gpl-2"),
+    ("gnu general public license version 2 june 1991", "gpl-2"),
     ("under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl-2"),
     ("licensed under the gnu lesser general public license", "lgpl"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("spdx license identifier lgpl", "lgpl"),
     ("licensed under the gnu affero general public license", "agpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("spdx license identifier agpl", "agpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("spdx license identifier bsd", "bsd"),
+    ("spdx license identifier mpl 2 0", "mpl-2"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("spdx license identifier isc", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("spdx license identifier unlicense", "unlicense"),
 )
 
 

@@ -13,7 +13,8 @@ groups of one source and size are dealt over hash buckets, so that no task ranks
 
 Sums are taken in decimals, so reruns and other partitionings agree. A null text has size 0 and a null source
 is a source. A source of size 0 has target 0. Rows repeated in all columns share a rank in any order.
-An empty table gives no rows. Columns of the input keep their names; the columns added must not be among them.
+An empty table gives no rows. Columns of the input stay as they are; an added column whose name is taken has
+underscores before it. Multipliers that do not settle are an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TOKEN, written
+from .common import TOKEN, free_name, written
 
 BUCKET_ROWS = 4096
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -92,6 +93,8 @@ def multipliers(counts: DataFrame, targets: DataFrame, most: float, tolerance: f
         if not state.where(~F.col("__done")).limit(1).count():
             break
         state = state.drop("__done")
+    else:
+        raise RuntimeError(f"multipliers did not settle in {most_steps} steps")
     return state.select(*targets.columns, "open", "multiplier", "unit")
 
 
@@ -133,8 +136,7 @@ def mix_sources(
     most_steps: int = 80,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``rate``, ``copies`` (0 to ``most``) and ``taken`` words."""
-    clash = [c for c in docs.columns if c.lower() in ADDED and c not in (text, source, id)]
-    docs = docs.drop(*clash)
+    named = {c: free_name(docs, c) for c in ADDED}
     keys = written(sized(docs, text, source, id).select("__source", "__size", "__tie"), "sizes")
     counts = written(keys.groupBy("__source", "__size").agg(F.count("*").alias("n")), "counts")
     targets = source_targets(counts, share, weights, most)
@@ -144,7 +146,7 @@ def mix_sources(
     cells = counts.join(of, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("rate", rate)
     cells = rounded(cells.select(*counts.columns, "source_size", "target", "rate"), most)
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    cells = written(cells.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), F.col("n").alias("__n"), "source_size", "target", "rate", F.col("m").alias("__copies"), buckets.alias("__buckets")), "cells")
+    cells = written(cells.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), F.col("n").alias("__n"), *(F.col(c).alias("__" + c) for c in ("source_size", "target", "rate")), F.col("m").alias("__copies"), buckets.alias("__buckets")), "cells")
 
     def in_cell(rows: DataFrame) -> DataFrame:
         joined = rows.join(cells, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
@@ -161,6 +163,6 @@ def mix_sources(
     rows = in_cell(sized(docs, text, source, id)).join(dealt, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__size") == F.col("__bz")) & (F.col("__bucket") == F.col("__b")))
     place = F.row_number().over(Window.partitionBy("__source", "__size", "__bucket").orderBy("__tie", id))
     each = F.floor(F.col("__m") / F.col("__k")) + (place <= F.col("__m") % F.col("__k")).cast("long")
-    return rows.withColumn("copies", F.when(F.col("__size") == 0, 0).otherwise(each).cast("long")).select(
-        *docs.columns, F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.col("rate").alias("rate"), "copies", (F.col("copies") * F.col("__size")).alias("taken")
-    )
+    copies = F.when(F.col("__size") == 0, 0).otherwise(each).cast("long")
+    added = {"size": F.col("__size"), "source_size": F.col("__source_size").cast("long"), "target": F.col("__target").cast("double"), "rate": F.col("__rate"), "copies": F.col("__taken"), "taken": F.col("__taken") * F.col("__size")}
+    return rows.withColumn("__taken", copies).select(*docs.columns, *(v.alias(named[k]) for k, v in added.items()))

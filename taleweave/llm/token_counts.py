@@ -2,9 +2,10 @@
 
 ``count_tokens`` adds ``n_bytes``, ``n_tokens`` and ``over_limit`` to the key columns. Texts are cut into
 pieces at safe boundaries and the pieces are encoded in batches of about ``batch_bytes``; the ids themselves
-never leave the batch. A boundary is safe where a letter is followed by one space and a letter: the
-pre-tokenizer of a byte-level vocabulary always ends a token there, whatever stands around it, and no special
-string holds a space. A run without such a boundary stays whole, so counts are those of the whole text.
+never leave the batch. A boundary is safe before white space that follows anything else, and between a letter and a
+full-width stop or comma: the pre-tokenizer of a byte-level vocabulary always ends a token there, whatever stands
+around it. Texts are cut only if no special string holds such a boundary. A run without a boundary stays whole, so
+counts are those of the whole text.
 
 Null and empty texts count 0 bytes and 0 tokens. Special strings inside a text count as their one special
 token, which is the tokenizer file's own default. Repeated rows and null keys pass through unchanged.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+SAFE = re.compile(r"(?<=[^ \t\n\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])(?=[ \t\n\r])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002\uff01\uff0c\uff1f])")
 
 
 def pieces(text: str, limit: int) -> Iterator[str]:
@@ -75,11 +76,12 @@ def encoder(path: str):
     ranks = {as_bytes(token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
     allowed = set(special)
+    cuts = not any(SAFE.search(f"x{t}x") for t in special)
 
     def count(texts: list[str]) -> list[int]:
         return [len(fast.encode(t, allowed_special=allowed, disallowed_special=())) for t in texts]
 
-    return count, True
+    return count, cuts
 
 
 #: The split that the ByteLevel pre-tokenizer stands for (a published constant of that format).
@@ -117,7 +119,7 @@ def counts(texts: list[str], path: str, piece_chars: int, batch_bytes: int) -> l
         for piece in (pieces(text, piece_chars) if cuts else [text]) if text else ():
             batch.append(piece)
             owner.append(k)
-            size += len(piece)
+            size += len(piece.encode("utf-8", "surrogatepass"))
             if size >= batch_bytes:
                 flush()
     flush()
