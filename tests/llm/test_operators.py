@@ -167,7 +167,7 @@ def test_licenses(spark):
 
 
 def test_license_span_with_a_word_put_in(spark):
-    words = licenses.TEMPLATES[1][0].split()
+    words = max((t for t, label in licenses.TEMPLATES if label == "mit"), key=len).split()
     text = " ".join(words[:20] + ["indeed"] + words[20:])
     x = licenses.scan_licenses(spark.createDataFrame([(1, text, None, None, None)], SCHEMA)).first()
     assert x.labels == "mit" and x.n_base == 0 and 0.8 <= x.score < 1
@@ -378,13 +378,16 @@ def test_keep_one_of_components_without_an_id_of_their_own(spark):
     assert sorted((str(x.doc_id), x.text) for x in kept) == sorted((str(i), t) for i, t in want)
 
 
-@pytest.mark.parametrize("chunk_rows", [32_768, 4])
-def test_topk_is_exact(spark, chunk_rows):
+@pytest.mark.parametrize("block", [32_768, 4, 100])
+def test_topk_is_exact(spark, block):
     r = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in r.normal(size=20)]) for i in range(300)]
     vectors += [(300 + k, vectors[7][1]) for k in range(20)]
     vectors += [(400, None), (450, [1.0, None] + [0.0] * 18), (500, [float("nan")] * 20), (550, [float("inf")] * 20), (600, []), (700, [0.5] * 12)]
-    got = topk.exact_topk(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, chunk_rows=chunk_rows, block_dims=3).collect()
+    # scores beyond 2**53, that differ in the last digits, and negative ones
+    vectors += [(800 + k, [float((-1) ** k * ((1 << 20) + k))] * 19 + [float(k)]) for k in range(12)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({c: F.lit("mine") for c in ("asks", "v", "qb", "cb", "score", "rank", "query_id")})
+    got = topk.exact_topk(table, F.col("vec_id") % 50 == 0, query_rows=block, candidate_rows=block, block_dims=3).collect()
     whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in (i for i in whole if i % 50 == 0):
@@ -393,6 +396,12 @@ def test_topk_is_exact(spark, chunk_rows):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_of_scores_beyond_a_long(spark):
+    table = spark.createDataFrame([(50, [1e15] * 4), (1, [1e15] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        topk.exact_topk(table, F.col("vec_id") == 50).collect()
+
+
 def test_empty_tables(spark, nothing):
     assert mixing.mix_sources(nothing).count() == linededup.dedup_lines(nothing).count() == licenses.scan_licenses(nothing).count() == pii.find_pii(nothing).count() == 0
     assert simhash.simhash_components(nothing).count() == langid.identify(nothing, langid.train(nothing)).count() == 0
@@ -410,6 +419,8 @@ def test_no_label_to_learn_from(spark, docs):
 def test_extra_columns_that_clash(spark, docs):
     odd = docs.withColumns({c: F.lit("mine") for c in ("size", "copies", "n_lines", "contaminated", "score", "fingerprint", "h", "id", "line", "word", "n", "item", "fp")})
     assert mixing.mix_sources(odd).count() == linededup.dedup_lines(odd).count() == docs.count()
+    for got, added in ((mixing.mix_sources(odd), "_copies"), (linededup.dedup_lines(odd), "_n_lines"), (decontaminate.decontaminate(odd, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")), "_contaminated")):
+        assert added in got.columns and {x[added.lstrip("_")] for x in got.collect()} == {"mine"} and got.columns[: len(odd.columns)] == odd.columns
     assert decontaminate.decontaminate(odd, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == docs.count()
     assert simhash.keep_one(odd).columns == odd.columns
     assert pii.find_pii(odd).count() == licenses.scan_licenses(odd).count() == docs.count()
