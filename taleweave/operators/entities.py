@@ -35,6 +35,28 @@ def near_pairs(names: DataFrame, most: int = 2, head: int = 1) -> DataFrame:
     return x.join(y, ["head", "l"]).where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", most) >= 0)).select("a", "b", F.levenshtein("a", "b").alias("edits"))
 
 
+def shortened(name: Column, most: int) -> Column:
+    """A name and what is left of it without up to ``most`` of its characters."""
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.left(x, i - 1), F.substring(x, i + 1, F.length(x))))
+    out = F.array(name)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, cut))))
+    return out
+
+
+def near_pairs_exact(names: DataFrame, most: int = 2) -> DataFrame:
+    """``a``, ``b`` (a < b), ``edits`` of all different ``names(name)`` within ``most`` (1 or 2) edits, whatever their first characters.
+
+    Names within k edits are equal once each has lost up to k of its characters, so they meet by equality of
+    what is left; a name of n characters has about n * n / 2 such forms. A form that many names share makes
+    their pairs, as all of them are within 2k edits of each other.
+    """
+    n = names.select("name").where(F.col("name").isNotNull()).distinct()
+    forms = n.select("name", F.explode(shortened(F.col("name"), most)).alias("form"))
+    met = forms.toDF("a", "form").join(forms.toDF("b", "form"), "form").where("a < b").select("a", "b").distinct()
+    return met.where(F.levenshtein("a", "b", most) >= 0).select("a", "b", F.levenshtein("a", "b").alias("edits"))
+
+
 def contained(texts: DataFrame, names: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """``id``, ``name``: which of ``names(name)`` each of ``texts(id, text)`` holds as a substring; empty names don't count. With ``lengths``, names of other lengths don't either.
 

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from .entities import mode_first
 
 
+#: Communities up to which they are broadcast.
+MOST_COMMUNITIES = 20_000
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the folder of spark.checkpoint.dir, which all executors share; ours only where none is set, as in tests."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not current.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="taleweave-")
         spark.sparkContext.setCheckpointDir(folder) if not current.isDefined() else None
     path = f"{folder.rstrip('/')}/taleweave-{what}-{uuid.uuid4().hex}"
@@ -147,12 +153,14 @@ def global_search(queries: DataFrame, communities_: DataFrame, k: int) -> DataFr
     """``query_id``, ``rank``, ``community``, ``score`` for ``queries(query_id, query)`` over ``communities(community, members, summary)``.
 
     2 for each member a query names, the share of its bigrams that the summary holds, and an eighth of a
-    member at most 1. Communities are few; they are broadcast if small.
+    member at most 1. Every community has a score with every query, so all of them meet; they are broadcast if they
+    are few, else dealt out against the queries.
     """
     from ..functions.text import char_ngrams
 
     grams = F.array_distinct(char_ngrams(F.col("query"), 2))
-    both = queries.withColumn("grams", grams).crossJoin(communities_)
+    few = communities_.limit(MOST_COMMUNITIES + 1).count() <= MOST_COMMUNITIES
+    both = queries.withColumn("grams", grams).crossJoin(F.broadcast(communities_) if few else communities_)
     named = 2.0 * F.size(F.filter("members", lambda m: F.contains(F.col("query"), m)))
     held = F.when(F.size("grams") > 0, F.size(F.filter("grams", lambda g: F.contains(F.col("summary"), g))) / F.size("grams")).otherwise(0.0)
     scored = both.withColumn("score", F.round(named + held + F.least(F.lit(1.0), F.size("members") / 8), 6)).where("score > 0")

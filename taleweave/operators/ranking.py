@@ -17,14 +17,12 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def fuse_ranks(lists: list[DataFrame], k: int | None = None, constant: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of ``lists(query_id, id, rank[, similarity])``.
+def fuse_ranked(hits: DataFrame, k: int | None = None, constant: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of the lists of ``hits(query_id, id, rank, list_no, similarity)``.
 
     Score is the sum of 1 / (constant + rank). Ties keep the order of first appearance: the earlier list, then
     the better rank. ``similarity`` is the best of the lists'. A single list keeps its own order.
     """
-    named = [x.select("query_id", "id", "rank", (F.col("similarity") if "similarity" in x.columns else F.lit(None)).cast("double").alias("similarity"), F.lit(n).alias("list_no")) for n, x in enumerate(lists)]
-    hits = reduce(DataFrame.unionByName, named)
     fused = hits.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("rank_score"), F.max("similarity").alias("similarity"), F.min(F.struct("list_no", "rank")).alias("first"), F.count("*").alias("n_lists"))
     fused = fused.withColumn("rank_score", F.round("rank_score", 9))
     order = [F.desc("rank_score"), F.col("first.list_no"), F.col("first.rank"), F.col("id")]
@@ -33,10 +31,17 @@ def fuse_ranks(lists: list[DataFrame], k: int | None = None, constant: int = RRF
     return ranked.select("query_id", "rank", "id", "rank_score", "similarity", "n_lists")
 
 
-def fuse_weighted(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:
-    """Weighted sum of similarities of ``(hits(query_id, id, similarity), weight)``; lists without weight don't count."""
-    parts = [x.select("query_id", "id", (F.col("similarity") * w).alias("part")) for x, w in lists if w > 0]
-    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.round(F.sum("part"), 8).alias("score"))
+def fuse_ranks(lists: list[DataFrame], k: int | None = None, constant: int = RRF_K) -> DataFrame:
+    """``fuse_ranked`` of several frames ``(query_id, id, rank[, similarity])``, one a list."""
+    named = [x.select("query_id", "id", "rank", (F.col("similarity") if "similarity" in x.columns else F.lit(None)).cast("double").alias("similarity"), F.lit(n).alias("list_no")) for n, x in enumerate(lists)]
+    return fuse_ranked(reduce(DataFrame.unionByName, named), k, constant)
+
+
+def fuse_weighted(hits: DataFrame, by: str, weights: dict, k: int) -> DataFrame:
+    """Weighted sum of the similarities of ``hits(query_id, id, similarity, by)``, by the weight of the channel ``by``; channels without one don't count."""
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv if kv[1] > 0])
+    parts = hits.withColumn("weight", F.try_element_at(weight, F.col(by))).where(F.col("weight") > 0)
+    fused = parts.groupBy("query_id", "id").agg(F.round(F.sum(F.col("similarity") * F.col("weight")), 8).alias("score"))
     return top_k(fused, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 

@@ -59,7 +59,13 @@ def strictest_level(hits: DataFrame, levels: list[Column], by: str = "query_id")
 
 
 def order_threshold(orders: DataFrame, by: list[str], order: str, share: float) -> DataFrame:
-    """``threshold``: the sorted orders' element at floor(n * share), at most the last."""
-    sorted_ = orders.where(F.col(order).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("o"))
-    n = F.size("o")
-    return sorted_.select(*by, F.element_at("o", F.least(n, F.floor(n * share).cast("int") + 1)).alias("threshold"))
+    """``threshold``: the sorted orders' element at floor(n * share), at most the last.
+
+    Orders are counted first, so that a group has one row a different order when its counts are summed up.
+    """
+    counts = orders.where(F.col(order).isNotNull()).groupBy(*by, order).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("__n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = counts.withColumns({"__upto": upto, "__all": F.sum("__n").over(w)})
+    reached = F.col("__upto") >= F.least(F.col("__all"), F.floor(F.col("__all") * share) + 1)
+    return summed.where(reached).groupBy(*by).agg(F.min(order).alias("threshold"))

@@ -66,13 +66,14 @@ def relations_of(relations: DataFrame, name: str, most: int) -> DataFrame:
 
 
 def expand_neighbours(hits: DataFrame, parents: DataFrame, radius: int) -> DataFrame:
-    """``query_id``, ``doc_id``, ``idx``, ``rank``, ``text``: each hit's parent and those within ``radius`` of it; what two hits share stays with the first.
+    """``query_id``, ``doc_id``, ``chapter_idx``, ``idx``, ``rank``, ``text``: each hit's parent and those of its chapter within ``radius`` of it; what two hits share stays with the first.
 
-    The band is a join by equality on the exploded offsets, not a range join.
+    The band is a join by equality on the exploded offsets, not a range join, and never crosses chapters.
     """
-    around = hits.select("query_id", "rank", "doc_id", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius)).alias("idx"))
-    first = around.groupBy("query_id", "doc_id", "idx").agg(F.min("rank").alias("rank"))
-    return first.join(parents.select("doc_id", "idx", "text"), ["doc_id", "idx"]).select("query_id", "doc_id", "idx", "rank", "text")
+    place = ["doc_id", "chapter_idx", "idx"]
+    around = hits.select("query_id", "rank", "doc_id", "chapter_idx", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius)).alias("idx"))
+    first = around.groupBy("query_id", *place).agg(F.min("rank").alias("rank"))
+    return first.join(parents.select(*place, "text"), place).select("query_id", *place, "rank", "text")
 
 
 def first_references(hits: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -83,13 +83,21 @@ def skip_reason(title: Column, text: Column, least: int = 80, black: str = r"(?i
 
 
 def sliding_windows(docs: DataFrame, most: int, width: int, stride: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``window``, ``start``, ``end``, ``text``: a text of ``most`` characters or fewer whole, a longer one in overlapping windows up to its end."""
-    length = F.length(text)
-    starts = F.when(length <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.ceil((length - width) / stride).cast("int") * stride, F.lit(stride)))
-    end = lambda s: F.when(length <= most, length).otherwise(F.least(s + width, length)).cast("int")
-    # windows are cut in one projection, so that the text isn't copied into each of its rows
-    cut = F.transform(starts, lambda s, i: F.struct(i.alias("window"), s.cast("int").alias("start"), end(s).alias("end"), F.col(text).substr(s + 1, end(s) - s).alias("text")))
-    return docs.where(F.col(text).isNotNull()).select(id, cut.alias("w")).select(id, F.inline("w"))
+    """``id``, ``window``, ``start``, ``end``, ``text``: a text of ``most`` characters or fewer whole, a longer one in overlapping windows up to its end.
+
+    A text is cut into pieces of one stride once, and windows are put together from them: a substring for each
+    window would read the text from its start each time.
+    """
+    full, rest = divmod(width, stride)
+    parts = F.struct(F.length(text).alias("n"), F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("pieces"))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((t["n"] - width) / stride).cast("int")))
+        join = lambda i: F.concat(F.array_join(F.slice(t["pieces"], i + 1, F.lit(full)), ""), F.coalesce(F.left(F.get(t["pieces"], i + full), F.lit(rest)), F.lit("")))
+        window = lambda i: F.struct(i.cast("int").alias("window"), (i * stride).cast("int").alias("start"), F.least(i * stride + width, t["n"]).cast("int").alias("end"), join(i).alias("text"))
+        return F.when(t["n"] <= most, F.array(F.struct(F.lit(0).alias("window"), F.lit(0).alias("start"), t["n"].cast("int").alias("end"), F.col(text).alias("text")))).otherwise(F.transform(starts, window))
+
+    return docs.where(F.col(text).isNotNull()).select(id, tx.bound(parts, cut).alias("w")).select(id, F.inline("w"))
 
 
 def flat_chunks(docs: DataFrame, most: int = 500, overlap: int = 50, least: int = 150, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -100,3 +100,54 @@ def diverse(rows: DataFrame, by: str, id: str, text: str, score: str, most: int
 
     fields = rows.select(by, id, text, score)
     return fields.repartition(by).sortWithinPartitions(by, F.desc(score), id).mapInPandas(run, fields.schema)
+
+
+def reliable_neighbours(rows: DataFrame, by: str, order: str, reliable: Column, most: int = 2) -> DataFrame:
+    """``rows`` with ``before``, the orders of the last ``most`` reliable rows before each, and ``after``, that of the first one after.
+
+    Each look back is a window's last value before the one it found, so no row gathers all that stand before it.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    own = F.when(reliable, F.col(order))
+    # a reliable row knows the ones before it, and each row the last reliable one
+    chain = F.when(reliable, F.array_compact(F.array(*[F.lag("__own", k).over(Window.partitionBy(by, "__ok").orderBy(order)) for k in range(most - 1, 0, -1)], F.col("__own"))))
+    marked = rows.withColumns({"__own": own, "__ok": reliable}).withColumn("__chain", chain)
+    before = F.last("__chain", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return marked.withColumns({"before": F.coalesce(before, F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>")), "after": after}).drop("__own", "__ok", "__chain")
+
+
+def ordered_windows(rows: DataFrame, by: str, chapter: str, order: str, most: int, promoted: Column) -> DataFrame:
+    """``rows`` with ``position``: at most ``most`` of each chapter, thirds dealt in turn, and those that are ``promoted`` before all others."""
+    capped = rows.withColumn("__k", F.row_number().over(Window.partitionBy(by, chapter).orderBy(order))).where(F.col("__k") <= most).drop("__k")
+    dealt = interleaved(capped, by, order)
+    return dealt.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(promoted.desc(), "position")) - 1)
+
+
+def spaced(rows: DataFrame, by: str, position: str, gap: int) -> DataFrame:
+    """``by``, ``position``: the first position of each group, and from then on each that is ``gap`` or more after the last one taken.
+
+    A stream over positions in order, with one number of state.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: object = object()
+        last = 0
+        for frame in frames:
+            keep = []
+            for n, (k, p) in enumerate(zip(frame[by], frame[position], strict=True)):
+                if k != key or p >= last + gap:
+                    key, last = k, p
+                    keep.append(n)
+            yield frame.iloc[keep]
+
+    fields = rows.select(by, position).where(F.col(position).isNotNull()).distinct()
+    return fields.repartition(by).sortWithinPartitions(by, position).mapInPandas(run, fields.schema)
+
+
+def context(rows: DataFrame, by: str, order: str, text: str, before: int, after: int, most: int) -> DataFrame:
+    """``rows`` with ``before`` and ``after``: the texts of so many rows on either side, cut at ``most`` characters."""
+    w = Window.partitionBy(by).orderBy(order)
+    t = F.coalesce(F.col(text), F.lit(""))
+    joined = lambda a, b: F.left(F.array_join(F.collect_list(t).over(w.rowsBetween(a, b)), " "), F.lit(most))
+    return rows.withColumns({"before": joined(-before, -1), "after": joined(1, after)})

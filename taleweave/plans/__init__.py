@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import entity, graph, operations, retrieval, story, structure  # noqa: F401
+    from . import asking, casts, entity, graph, operations, retrieval, story, structure  # noqa: F401

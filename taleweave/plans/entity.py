@@ -92,6 +92,14 @@ def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.near_pairs(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), most=4)
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark), k AS (SELECT name FROM n WHERE regexp_full_match(name, '[a-z]{4,12}'))
+SELECT x.name AS a, y.name AS b, levenshtein(x.name, y.name)::INTEGER AS edits FROM k x JOIN k y ON x.name < y.name AND levenshtein(x.name, y.name) <= 2""")
+def near_duplicate_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of ASCII letters, as DuckDB counts edits in bytes."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("name")).where(F.col("name").rlike("^[a-z]{4,12}$"))
+    return en.near_pairs_exact(words)
+
+
 @query("WITH a AS (SELECT lower(n_name) AS alias, min(r_name) AS canonical FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey < 3 GROUP BY 1) SELECT s_suppkey, lower(n_name) AS name, coalesce(canonical, lower(n_name)) AS canonical FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN a ON alias = lower(n_name)")
 def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r, s = (table(spark, sf_dir, x) for x in ("nation", "region", "supplier"))

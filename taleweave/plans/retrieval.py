@@ -74,7 +74,7 @@ SELECT query_id, id, rank_score, similarity, n_lists, row_number() OVER (PARTITI
 @query(CHANNELS)
 def multi_channel_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = nearest.search(blocks(spark, sf_dir).where("label < 4"), asked(spark, sf_dir), 6, by="label")
-    return ranking.fuse_ranks([hits.where(F.col("label") == c) for c in range(4)], 10)
+    return ranking.fuse_ranked(hits.withColumn("list_no", F.col("label")), 10)
 
 
 @query(f"""WITH {COSINE},
@@ -83,7 +83,7 @@ f AS (SELECT query_id, id, round(sum(similarity * CASE label WHEN 0 THEN 0.5 WHE
 {ranked('f', 'query_id', 10, 'query_id, id, score', 'score DESC, id')}""")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = nearest.search(blocks(spark, sf_dir).where("label < 3"), asked(spark, sf_dir), 20, by="label")
-    return ranking.fuse_weighted([(hits.where(F.col("label") == c), w) for c, w in ((0, 0.5), (1, 0.3), (2, 0.2))], 10)
+    return ranking.fuse_weighted(hits, "label", {0: 0.5, 1: 0.3, 2: 0.2}, 10)
 
 
 @query(f"WITH {BM25} {ranked('(SELECT * FROM bm WHERE score > 0)', 'query_id', 10, 'query_id, id, score', 'score DESC, id')}")
@@ -126,7 +126,8 @@ SELECT query_id, id, similarity, level::INTEGER AS level, row_number() OVER (PAR
 def filter_relax_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict scope first; a question without any hit falls back to a wider one."""
     b, q = blocks(spark, sf_dir), asked(spark, sf_dir)
-    hits = nearest.search(b, q, b.count()).join(b.select("id", "label"), "id").join(q.select("query_id", "query_label"), "query_id")
+    # the best few of a level are among the best few of its labels
+    hits = nearest.search(b, q, 5, by="label").join(F.broadcast(q.select("query_id", "query_label")), "query_id")
     same, near = F.col("label") == F.col("query_label"), F.col("label") % 2 == F.col("query_label") % 2
     found = scope.strictest_level(hits.drop("rank"), [same & (F.col("similarity") >= 0.3), same, near])
     return ranking.top_k(found, ["query_id"], [F.desc("similarity"), F.col("id")], 5).select("query_id", "id", "similarity", "level", "rank")

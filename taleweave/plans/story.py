@@ -86,12 +86,13 @@ def time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {retrieval.COSINE}, h AS ({retrieval.ranked('s', 'query_id', 5, 'query_id, id', 'similarity DESC, id')}),
-a AS (SELECT query_id, rank, unnest(range(id - 1, id + 2)) AS idx FROM h) SELECT query_id, idx, min(rank) AS rank FROM a JOIN embeddings ON vec_id = idx GROUP BY query_id, idx""")
+a AS (SELECT query_id, rank, id // 10 AS chapter_idx, unnest(range(id - 1, id + 2)) AS idx FROM h) SELECT query_id, chapter_idx, idx, min(rank) AS rank FROM a JOIN embeddings ON vec_id = idx AND vec_id // 10 = chapter_idx GROUP BY query_id, chapter_idx, idx""")
 def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten blocks make a chapter here."""
     b = retrieval.blocks(spark, sf_dir)
-    hits = nearest.search(b, retrieval.asked(spark, sf_dir), 5).select("query_id", "rank", F.lit(0).alias("doc_id"), F.col("id").alias("idx"))
-    parents = b.select(F.lit(0).alias("doc_id"), F.col("id").alias("idx"), F.lit("").alias("text"))
-    return so.expand_neighbours(hits, parents, 1).select("query_id", "idx", "rank")
+    place = (F.lit(0).alias("doc_id"), F.floor(F.col("id") / 10).alias("chapter_idx"), F.col("id").alias("idx"))
+    hits = nearest.search(b, retrieval.asked(spark, sf_dir), 5).select("query_id", "rank", *place)
+    return so.expand_neighbours(hits, b.select(*place, F.lit("").alias("text")), 1).select("query_id", "chapter_idx", "idx", "rank")
 
 
 @query(f"""WITH {retrieval.COSINE}, h AS ({retrieval.ranked('s', 'query_id', 5, 'query_id, id', 'similarity DESC, id')}), a AS (SELECT query_id, rank, unnest([0, 1, 2]) AS p, unnest([id, id * 2, id + 7]) AS id FROM h),

@@ -136,7 +136,10 @@ def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.dialogue_blocks(documents(spark, sf_dir), quotes=r"\.$")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r(source, rn, doc_id, n_chars, batch, held) AS (SELECT source, rn, doc_id, n_chars, 0, n_chars FROM d WHERE rn = 1 UNION ALL
+ SELECT d.source, d.rn, d.doc_id, d.n_chars, CASE WHEN r.held + d.n_chars > 20000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.held + d.n_chars > 20000 THEN d.n_chars ELSE r.held + d.n_chars END FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1)
+SELECT source, doc_id, n_chars, batch FROM r""")
 def chapter_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("source", "doc_id", F.length("text").alias("n_chars"))
     return st.chapter_batches(sized, 20_000, "source", "doc_id", "n_chars")
