@@ -16,8 +16,9 @@ string. Shorter lines stay. Whatever else matches, the earliest line of all stay
 * A set also has 128 parity bits. Sets differ in as many words as their bits do, at least, which drops nearly all
   candidates that are not similar before any text is fetched.
 * Groups of near copies would pair each line with each. So each line first meets the line that comes before it
-  among those with the same rare word (dealt over ``SALTS`` lists, so that no word fills a task). That settles
-  nearly all lines of a large group; only lines not settled so ask all others. Verification is on the words.
+  among those with the same two neighbouring words of the prefix (dealt over ``SALTS`` lists, so that no words fill
+  a task). That settles nearly all lines of a large group; only lines not settled so ask all others. Verification
+  is on the words.
 
 Only DataFrame operations run on texts. Each phase is written to the shared folder, so a lost executor costs
 no more than the phase. A null text stays null; empty lines stay. Rows with one id count as one document:
@@ -38,7 +39,7 @@ from . import common
 from .common import free_name, listed, written
 
 BUCKET_BITS = 17
-SALTS, LEADING = 8, 3
+SALTS, LEADING, BEFORE, ASKED = 2, 3, 6, 8
 #: Words from which a line has its second 64 parity bits.
 LONG = 64
 ADDED = ("n_lines", "n_removed", "n_left")
@@ -84,8 +85,8 @@ class Rarity:
     """
 
     def __init__(self, texts: DataFrame, hot: int) -> None:
-        words = F.explode(tokens(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))))
-        counts = texts.select(words.alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+        lines = texts.select(F.explode(lines_of(F.col("text"))).alias("t"))
+        counts = lines.select(F.explode(tokens(F.col("t"))).alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
         self.levels = [0] * (1 << BUCKET_BITS)
         for r in counts.collect():
             self.levels[r.bucket] = self.level(r.n)
@@ -129,17 +130,22 @@ def low(x: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
-def close_enough(xn: Column, yn: Column, x_at: Column, y_at: Column, threshold: float) -> Column:
+def unlike(x, y) -> Column:
+    """In how many words the sets differ, at least, by their parity bits; ``x`` and ``y`` give a side's columns by name."""
+    first, more = x("bits").bitwiseXOR(y("bits")), x("more").bitwiseXOR(y("more"))
+    return F.when((low(x("ln")) >= LONG) & (low(y("ln")) >= LONG), F.bit_count(first) + F.bit_count(more)).otherwise(F.bit_count(first.bitwiseXOR(more)))
+
+
+def close_enough(x, y, x_at: Column, y_at: Column, threshold: float) -> Column:
     """The length filter, the positional filter on the first shared word, at x_at and y_at, and the parity filter."""
+    xn, yn = low(x("ln")), low(y("ln"))
     both = xn + yn
     differ = both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    lengths = (F.least(xn, yn) >= F.greatest(xn, yn) * threshold - 1e-9) & (x_at + y_at <= differ)
-    first, more = F.col("xbits").bitwiseXOR(F.col("ybits")), F.col("xmore").bitwiseXOR(F.col("ymore"))
-    return lengths & F.when((xn >= LONG) & (yn >= LONG), F.bit_count(first) + F.bit_count(more) <= differ).otherwise(F.bit_count(first.bitwiseXOR(more)) <= differ)
+    return (F.least(xn, yn) >= F.greatest(xn, yn) * threshold - 1e-9) & (x_at + y_at <= differ) & (unlike(x, y) <= differ)
 
 
-def later(x: str, y: str) -> Column:
-    return (F.col(f"{x}id") > F.col(f"{y}id")) | ((F.col(f"{x}id") == F.col(f"{y}id")) & (high(F.col(f"{x}ln")) > high(F.col(f"{y}ln"))))
+def later(x, y) -> Column:
+    return (x("id") > y("id")) | ((x("id") == y("id")) & (high(x("ln")) > high(y("ln"))))
 
 
 def first_lines(keyed: DataFrame, rarity: Rarity, threshold: float, least: int) -> DataFrame:
@@ -181,13 +187,28 @@ def verified(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
 
 
 def neighbours(firsts: DataFrame, threshold: float) -> DataFrame:
-    """Each line with the one before it, by place, of those with one of its rarest words, if they may be similar."""
+    """Each line with one before it of those with the same two neighbouring words of the prefix, if they may be similar.
+
+    The last words of the prefix are taken: in a large group of near copies these are the words of the group, while
+    the rarest words of a line are those that it has alone. Of the first line of a list and the ``BEFORE`` that stand
+    right before, over all lists of a line, the ``ASKED`` with the most like parity bits are its neighbours.
+    """
     salt = F.pmod(F.xxhash64("id", "line"), F.lit(SALTS))
-    rows = firsts.select("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more", F.explode(F.transform(F.slice("prefix", 1, LEADING), lambda w: F.xxhash64(w, salt))).alias("key"))
-    before = Window.partitionBy("key").orderBy("id", "ln")
-    x = rows.select(*(F.col(c).alias("x" + c) for c in ("id", "ln", "bits", "more")), *(F.lag(c).over(before).alias("y" + c) for c in ("id", "ln", "bits", "more")))
-    near = x.where(F.col("yid").isNotNull() & later("x", "y") & close_enough(low(F.col("xln")), low(F.col("yln")), F.lit(0), F.lit(0), threshold))
-    return near.select("xid", high(F.col("xln")).alias("xline"), "yid", high(F.col("yln")).alias("yline")).distinct()
+    last = F.col("n") - needed(F.col("n"), threshold)
+    pair = lambda k: F.when(last > k, F.xxhash64(F.get("prefix", last - k), F.get("prefix", last - k - 1), salt))
+    side = F.struct("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more").alias("x")
+    rows = firsts.select(side, F.explode(F.array_compact(F.array(*[pair(k) for k in range(LEADING)]))).alias("key"))
+    before = Window.partitionBy("key").orderBy("x.id", "x.ln")
+    met = rows.select("x", F.array(F.first("x").over(before), *[F.lag("x", k).over(before) for k in range(1, BEFORE + 1)]).alias("ys"))
+    x = lambda c: F.col("x")[c]
+
+    def near(y: Column) -> Column:
+        of = lambda c: y[c]
+        return F.when(y.isNotNull() & later(x, of) & close_enough(x, of, F.lit(0), F.lit(0), threshold), F.struct(unlike(x, of).alias("d"), y["id"].alias("id"), y["ln"].alias("ln")))
+
+    pairs = met.select("x", F.explode(F.array_compact(F.transform("ys", near))).alias("y")).groupBy("x.id", "x.ln").agg(F.collect_set("y").alias("ys"))
+    best = pairs.select("id", "ln", F.explode(F.slice(F.array_sort("ys"), 1, ASKED)).alias("y"))
+    return best.select(F.col("id").alias("xid"), high(F.col("ln")).alias("xline"), F.col("y.id").alias("yid"), high(F.col("y.ln")).alias("yline"))
 
 
 def postings(asked: DataFrame, firsts: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -218,8 +239,9 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     asks = (xi.bitwiseAND(F.lit(1)) == 1) | (yi < 0)
     # at 0 there is no word before
     starts = (high(F.col("xpi")) != high(F.col("ypi"))) | (xi < 2) | (yi < 2) | (high(F.col("xpi")) == 0)
-    near = close_enough(low(F.col("xln")), low(F.col("yln")), F.shiftright(xi, 1), F.shiftright(yi, 1), threshold)
-    return x.join(y, "key").where(later("x", "y") & asks & starts & near).select("xid", high(F.col("xln")).alias("xline"), "yid", high(F.col("yln")).alias("yline")).distinct()
+    of_x, of_y = (lambda c: F.col("x" + c)), (lambda c: F.col("y" + c))
+    near = close_enough(of_x, of_y, F.shiftright(xi, 1), F.shiftright(yi, 1), threshold)
+    return x.join(y, "key").where(later(of_x, of_y) & near & starts & asks).select("xid", high(F.col("xln")).alias("xline"), "yid", high(F.col("yln")).alias("yline")).distinct()
 
 
 def key_of(id: Column, kind: T.DataType) -> Column:
@@ -236,7 +258,7 @@ def many_words(line: Column, least: int) -> Column:
     return enough | (F.size(word_hashes(line)) >= least)
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 1024) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", threshold: float = 0.8, least: int = 5, hot: int = 4096) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``n_left`` (lines of ``least`` words or more that stay)."""
     named = {c: free_name(docs, c) for c in ADDED}
     key, whole = key_of(F.col(id), docs.schema[id].dataType), F.xxhash64(F.col(text).cast("string"))
