@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: Honorifics that end or begin a name; fixed values, extended by parameters.
 HONORIFIC_SUFFIXES = ("先生", "小姐", "大人", "殿下", "阁下", "同学", "老师", "前辈", "桑", "酱", "君", "様", "さん", "ちゃん", " jr", " sr", " esq")
 HONORIFIC_PREFIXES = ("老", "小", "阿", "mr ", "mrs ", "ms ", "dr ", "sir ", "lady ")
-#: Speakers that name nobody.
-NOISE_NAMES = ("他", "她", "它", "我", "你", "他们", "她们", "我们", "你们", "大家", "众人", "某人", "有人", "旁白", "未知", "he", "she", "they", "we", "you", "it", "everyone", "someone", "unknown", "narrator")
+#: Pronouns and the plurals that are formed from them: speakers that name nobody. Callers add the words of their corpus.
+PRONOUNS = ("我", "你", "他", "她", "它")
+NOISE_NAMES = (*PRONOUNS, *(p + "们" for p in PRONOUNS), *"i you he she it we they nobody narrator".split())
 NOISE_ENDINGS = r"(?:说|道|问|答|喊|叫|笑|想|着|了|的|地)$"
 NOISE_STARTS = r"^(?:他|她|它|我|你|这|那).{0,3}$"
 

@@ -64,8 +64,23 @@ def normalize_text(text: Column) -> Column:
 
 
 #: Lines of advertisement and of nothing but marks; fixed values of the cleaning rules.
-AD_LINE = r"(?i)www\.[a-z0-9.-]+|https?://[^\s]+"
-JUNK_LINES = (r"^[^0-9A-Za-z_\x{80}-\x{10ffff}]{10,}$", r"^[0-9\s.,;:!?]+$")
+# What makes a line an advert, and what makes it junk.
+AD_LINE = (
+    r"(?i)("
+    r"www\.[a-z0-9.-]+"
+    r"|http[s]?://[^\s]+"
+    r"|请记住.*?(?:网址|域名|地址)"
+    r"|更多精彩.*?(?:请访问|尽在|请关注)"
+    r"|本章未完.*?(?:请点击|下一页)"
+    r"|求(?:推荐票|月票|收藏|订阅|打赏)"
+    r"|本书.*?(?:首发|来自|转载)"
+    r"|看最快更新.*?(?:就上|就来)"
+    r"|如果.*?(?:觉得好看|觉得不错|喜欢).*?(?:请收藏|请投票|请推荐)"
+    r"|^[（(]?(?:译注|注|※|\*).*?[）)]?\s*$"
+    r"|^\s*[\|｜].*?[\|｜]\s*$"
+    r")"
+)
+JUNK_LINES = (r"(?U)^[^\w\u4e00-\u9fff]{10,}$", r"^[\d\s.,;:!?，。；：！？、]+$", r"^(.)\1{8,}$")
 MIN_SCORE = 0.3
 
 

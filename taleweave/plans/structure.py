@@ -15,8 +15,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.empty_if_null(F.col("text")).alias("text"), "source")
 
 
-SCORE = r"""CASE WHEN trim(x) = '' THEN 0.5 WHEN length(trim(x)) < 2 THEN 0.3 WHEN regexp_matches(trim(x), '(?i)www\.[a-z0-9.-]+|https?://[^\s]+') THEN 0.0
- WHEN regexp_matches(trim(x), '^[^0-9A-Za-z_\x{80}-\x{10ffff}]{10,}$') THEN 0.1 WHEN regexp_matches(trim(x), '^[0-9\s.,;:!?]+$') THEN 0.1 ELSE 1.0 END"""
+#: The last junk form, one character over and over, without a back reference, which RE2 lacks.
+SCORE = rf"""CASE WHEN trim(x) = '' THEN 0.5 WHEN length(trim(x)) < 2 THEN 0.3 WHEN regexp_matches(trim(x), '{tx.AD_LINE}') THEN 0.0
+ WHEN regexp_matches(trim(x), '^[^\pL\pM\pN\p{{Pc}}]{{10,}}$') THEN 0.1 WHEN regexp_matches(trim(x), '{tx.JUNK_LINES[1]}') THEN 0.1 WHEN length(trim(x)) >= 9 AND replace(trim(x), left(trim(x), 1), '') = '' THEN 0.1 ELSE 1.0 END"""
 CLEAN = f"array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {SCORE} >= 0.3), chr(10))"
 DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents)"
 LINES = f"{DOCS}, l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM d)"
