@@ -1,14 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
 Texts become sets of shingles of ``shingle`` lower-cased words. A document is contaminated by an item if it
-holds at least ``threshold`` of the item's shingles. Plain MinHash compares Jaccard similarity, which a short
-item inside a long document hardly moves, so the search is one-sided, as containment search needs: items are
-partitioned by size, and an item of n shingles is signed by the s smallest of its shingles in a random (hash)
-order, with s the least number for that size such that a document without any of them cannot reach the
-threshold. Document shingles are probed against the signatures, which finds every candidate; candidates are
-then verified by counting the item's shingles in the document exactly.
-
-Documents are probed whole, in one pass. The signatures hold about a fifth of the benchmark's shingles and
+holds at least ``threshold`` of the item's shingles. Comparing sketches of both sides estimates Jaccard similarity,
+which a short item inside a long document hardly moves, so the search is one-sided (containment MinHash): an item's
+sketch is its bottom s shingles in a random (hash) order, and the document is asked for these. Items are partitioned
+by size, in powers of two, and all items of a partition have sketches of one length: the least s such that a document
+without any of them cannot hold the threshold of the partition's largest items, and so of none. That finds every
+candidate; candidates are then verified by counting the item's shingles in the document exactly.
+
+Documents are probed whole, in one pass. The sketches hold a fifth to two fifths of the benchmark's shingles and
 Spark broadcasts them only if they are small. Null texts hold nothing and are clean; an item of fewer words
 than a shingle is one shingle, which a document of the same few words holds. Null items match nothing. Items
 that repeat a text are all listed. Repeated rows get the same result each. Empty tables give clean documents,
@@ -39,11 +39,16 @@ def shingles(text: Column, k: int) -> Column:
     return F.element_at(F.transform(F.array(w), runs), 1)
 
 
+def sketch_length(n: Column, threshold: float) -> Column:
+    """The length of the sketches of the partition that an item of n shingles falls into: those of 2**k to 2**(k+1) - 1 shingles."""
+    largest = F.pow(F.lit(2), F.floor(F.log2(n.cast("double"))) + 1) - 1
+    return (largest - F.ceil(largest * threshold - 1e-9) + 1).cast("long")
+
+
 def signatures(items: DataFrame, threshold: float, seed: int = 7) -> DataFrame:
-    """The signing shingles of ``items(item, h, n)``: the bottom s in hash order, s by the item's size."""
+    """The sketches of ``items(item, h, n)``: the bottom shingles in hash order, as many as the item's partition has."""
     order = F.row_number().over(Window.partitionBy("item").orderBy(F.xxhash64(F.lit(seed), "h"), "h"))
-    enough = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return items.withColumn("place", order).where(F.col("place") <= enough).select("item", "h")
+    return items.withColumn("place", order).where(F.col("place") <= sketch_length(F.col("n"), threshold)).select("item", "h")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text: str, id: str, item_id: str, item_text: str, shingle: int, threshold: float) -> DataFrame:

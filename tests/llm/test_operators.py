@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with the awkward cases in them."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -85,6 +86,25 @@ def test_mixing_deals_large_groups(spark, monkeypatch):
     assert all(abs(x.t - x.g) <= 5 and x.m <= 2 for x in got)
 
 
+def test_mixing_rates_agree_with_a_solver(spark, docs):
+    """Rates against multipliers found by bisection on the documents themselves."""
+    got = mixing.mix_sources(docs).collect()
+    for source in {x.source for x in got}:
+        own = [x for x in got if x.source == source]
+        total, target = sum(x.size for x in own), own[0].target
+        if not total or target >= 2 * total * (1 - 1e-12):
+            assert all(x.rate == (2 if total else 0) for x in own)
+            continue
+        mean = total / len(own)
+        words = lambda m: sum(x.size * min(2.0, math.exp(min(50.0, m * x.size / mean))) for x in own)  # noqa: B023, E731
+        low, high = -200.0 * mean, 200.0 * mean
+        for _ in range(300):
+            m = (low + high) / 2
+            low, high = (m, high) if words(m) < target else (low, m)
+        for x in own:
+            assert x.rate == pytest.approx(min(2.0, math.exp(min(50.0, low * x.size / mean))), rel=1e-4, abs=1e-9)
+
+
 def brute_lines(rows, least=5, threshold=0.8):
     """The text that stays of each (id, text)."""
     lines = sorted({(-(1 << 63) if i is None else i, k, t) for i, text, *_ in rows if text is not None for k, t in enumerate(text.split("\n"))})
@@ -166,6 +186,12 @@ def test_licenses(spark):
     assert got[6].labels == "gpl-3" and got[3].labels == "" and got[7].labels == ""
 
 
+def test_licenses_by_short_references(spark):
+    texts = ["SPDX-License-Identifier: MIT", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Released under the terms of the MIT License."]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {x.doc_id: x.labels for x in got} == {0: "mit", 1: "gpl-3", 2: "lgpl", 3: "mit"}
+
+
 def test_license_span_with_a_word_put_in(spark):
     words = max((t for t, label in licenses.TEMPLATES if label == "mit"), key=len).split()
     text = " ".join(words[:20] + ["indeed"] + words[20:])
@@ -273,6 +299,19 @@ def test_token_counts(spark, rows):
         assert (x.n_tokens, x.n_bytes, x.over_limit) == (n, len((texts[x.doc_id] or "").encode()), n > 1024)
 
 
+def test_token_counts_of_pieces():
+    """Texts cut into very small pieces count as whole ones, in all scripts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    r = random.Random(1)
+    for _ in range(200):
+        text = "".join(r.choice(["a", "b", "Z9", " ", "  ", "\n", "\t", "'s", "é", "中文", "。", "，ア", "！", "жñ", "\u3000", "\u00a0", "-", "<|endoftext|>", "٣½"]) for _ in range(150))
+        assert token_counts.counts([text], path, 20, 100) == [len(own.encode(text, add_special_tokens=False).ids)]
+    assert len(list(token_counts.pieces("中文。" * 100, 20))) > 10
+
+
 def test_decontamination(spark, docs, rows):
     r = random.Random(9)
     items = [(k, " ".join(f"item{k}w{j}" for j in range(n))) for k, n in enumerate((5, 6, 20, 60, 200))] + [(8, "two words"), (9, None), (10, "")]
@@ -321,6 +360,27 @@ def brute_components(prints, distance=2):
     return [find(i) for i in range(len(prints))]
 
 
+def test_html_held_out_pages():
+    """Labelled pages of other seeds than the tree's own, and what stands around articles on real pages."""
+    tree = html_extract.tree()
+    for seed in (2, 3):
+        rows, labels = html_extract.labelled_blocks(html_extract.labelled_pages(200, seed))
+        right = sum(html_extract.keeps(tree, x) == y for x, y in zip(rows, labels, strict=True))
+        assert right / len(labels) > 0.99 and 0.2 < sum(labels) / len(labels) < 0.8
+    body = "<p>first one paragraph of words that go on for some time here</p><p>a second paragraph</p><p>third one.</p>"
+    whole = "first one paragraph of words that go on for some time here\n\na second paragraph\n\nthird one."
+    for page in (f'<body><nav><a href=x>menu</a></nav><main class="content no-sidebar">{body}</main></body>', f'<article class="post has-comments">{body}</article>', f'<div class="row with-sidebar"><article>{body}</article></div>', f'<form id="aspnetForm"><nav><a>m</a></nav><div>{body}</div></form>'):
+        assert html_extract.main_text(page) == whole
+    assert "caption" in html_extract.main_text(f'<article><p>text</p><figure class="side-by-side"><figcaption>caption</figcaption></figure>{body}</article>')
+
+
+def test_html_of_broken_and_long_pages():
+    assert html_extract.main_text('<article><p title="never closed>text') == "" and html_extract.main_text("<article><p>kept</p><!-- never closed <p>gone</p>") == "kept"
+    words = "word " * 200_000
+    assert html_extract.main_text(f"<article><p>{words}</p></article>") == words.strip()
+    assert html_extract.main_text("<div>" * 3000 + "<article><p>deep</p></article>") == "deep"
+
+
 def test_simhash(docs, rows):
     got = simhash.simhash_components(docs).collect()
     assert len(got) == len(rows)
