@@ -79,7 +79,7 @@ def mentions(texts: DataFrame, names: Column) -> DataFrame:
             lengths = F.transform(p, lambda x: F.length(x))
             upto = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.length(n["name"])
             places = F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(upto(i).alias("start"), (upto(i) + F.length(n["name"])).alias("end"), n["name"].alias("name")))).otherwise(F.array().cast("array<struct<start:int,end:int,name:string>>"))
-            return F.struct(F.array_join(p, F.repeat(F.lit("\u0000"), F.length(n["name"]))).alias("left"), F.concat(acc["found"], places).alias("found"))
+            return F.struct(F.replace(acc["left"], n["name"], F.repeat(F.lit("\u0000"), F.length(n["name"]))).alias("left"), F.concat(acc["found"], places).alias("found"))
 
         return tx.bound(parts, placed)
 
