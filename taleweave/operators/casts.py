@@ -151,3 +151,21 @@ def evidence(texts: DataFrame, names: Column, before: int = 40, after: int = 80)
     found = texts.withColumn("__at", at).where(F.col("__at").isNotNull())
     start = F.greatest(F.col("__at") - before, F.lit(1))
     return found.select("id", (F.col("__at") - 1).cast("int").alias("start"), F.substring(F.col("text"), start, F.col("__at") + after - start).alias("snippet"))
+
+
+def roster(turns: DataFrame, block: str, speaker: str, most: int = 20) -> DataFrame:
+    """``speaker``, ``dialogue_count``, ``n_chapters``, ``co_occurrence`` (the ``most`` speakers it shares most blocks with, as ``name=n``)."""
+    n = turns.groupBy(speaker).agg(F.count("*").alias("dialogue_count"), F.countDistinct(block).alias("n_chapters"))
+    # speakers of one block meet in its own set, which one chapter's cast bounds
+    sets = turns.groupBy(block).agg(F.collect_set(speaker).alias("cast"))
+    pairs = sets.select("cast", F.explode("cast").alias(speaker)).select(speaker, F.explode(F.filter("cast", lambda x: x != F.col(speaker))).alias("other")).groupBy(speaker, "other").agg(F.count("*").alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "other"))), 1, most)
+    top = pairs.groupBy(speaker).agg(F.array_join(F.transform(first, lambda x: F.concat(x["other"], F.lit("="), (-x["m"]).cast("string"))), ",").alias("co_occurrence"))
+    return n.join(top, speaker, "left")
+
+
+def quota_complete(turns: DataFrame, by: str, speaker: str, chapter: Column, chapters: int, main: Column, target: int, least: int, share: float = 0.3) -> DataFrame:
+    """``by``, ``satisfied``: whether main speakers have ``target`` turns in a ``share`` of the ``chapters`` (one at least), and all others ``least`` turns."""
+    a = turns.groupBy(by, speaker).agg(F.count("*").alias("n"), F.countDistinct(chapter).alias("c"))
+    enough = F.when(main, (F.col("n") >= target) & (F.col("c") >= max(1, int(chapters * share)))).otherwise(F.col("n") >= least)
+    return a.groupBy(by).agg(F.bool_and(enough).alias("satisfied"))

@@ -44,6 +44,21 @@ def pairs_within(rows: DataFrame, group: str, member: str, carry: list[str] | No
     return sets.select(group, *keep, "m", F.posexplode("m").alias("p", "a")).select(group, *keep, "a", F.explode(F.slice("m", F.col("p") + 2, F.size("m"))).alias("b"))
 
 
+def classified(relation: Column, polarity: Column, categories: dict[str, str], by_polarity: dict[str, str], other: str = "other") -> Column:
+    """The first of ``categories`` (name to pattern, in order) whose pattern a relation's type has, else that of its polarity, else ``other``."""
+    out = F.lit(other)
+    for value, name in reversed(by_polarity.items()):
+        out = F.when(polarity == value, name).otherwise(out)
+    for name, pattern in reversed(categories.items()):
+        out = F.when(relation.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def shared_groups(members: DataFrame, group: str, node: str) -> DataFrame:
+    """``a``, ``b``, ``n_shared``: in how many groups (chapters) two nodes both are."""
+    return pairs_within(members.select(group, node).distinct(), group, node).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+
+
 def relation_graph(relations: DataFrame, category: Column, least_weight: int = 1, least_confidence: float = 0.0) -> DataFrame:
     """One edge for each unordered pair of ``relations(source, target, relation_type, polarity, confidence, chapter_order, pos)``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
+from ..operators import casts as ca
 from ..operators import entities as en
 from ..operators import turns as tn
 from . import query, table
@@ -35,9 +36,7 @@ def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT conv_id, role, count(*) AS n, count(DISTINCT turn // 3) AS c FROM conversations GROUP BY ALL)
 SELECT conv_id, bool_and(CASE WHEN role = 'system' THEN n >= 1 ELSE n >= 2 AND c >= greatest(1, floor(3 * 0.3)) END) AS satisfied FROM a GROUP BY conv_id""")
 def quota_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = talk(spark, sf_dir).groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.countDistinct(F.floor(F.col("turn") / 3)).alias("c"))
-    enough = F.when(F.col("role") == "system", F.col("n") >= 1).otherwise((F.col("n") >= 2) & (F.col("c") >= F.greatest(F.lit(1), F.floor(F.lit(3 * 0.3)))))
-    return a.groupBy("conv_id").agg(F.bool_and(enough).alias("satisfied"))
+    return ca.quota_complete(talk(spark, sf_dir), "conv_id", "role", F.floor(F.col("turn") / 3), 3, F.col("role") != "system", 2, 1)
 
 
 TIERS = """WITH a AS (SELECT c_mktsegment AS segment, c_name AS name, count(*) AS mentions, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS chapters FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
@@ -71,13 +70,7 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.role, b.role AS other, count(*) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.role <> b.role GROUP BY ALL)
 SELECT role, dialogue_count, n_chapters, string_agg(other || '=' || p.n, ',' ORDER BY p.n DESC, other) AS co_occurrence FROM n LEFT JOIN p USING (role) GROUP BY ALL""")
 def roster_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir)
-    n = t.groupBy("role").agg(F.count("*").alias("dialogue_count"), F.countDistinct("conv_id").alias("n_chapters"))
-    # speakers of one block meet in its own set, which one chapter's cast bounds
-    sets = t.groupBy("conv_id").agg(F.collect_set("role").alias("cast"))
-    pairs = sets.select("cast", F.explode("cast").alias("role")).select("role", F.explode(F.filter("cast", lambda x: x != F.col("role"))).alias("other")).groupBy("role", "other").agg(F.count("*").alias("n"))
-    top = pairs.groupBy("role").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "other"))), 1, 20), lambda x: F.concat(x["other"], F.lit("="), (-x["m"]).cast("string"))), ",").alias("co_occurrence"))
-    return n.join(top, "role", "left")
+    return ca.roster(talk(spark, sf_dir), "conv_id", "role")
 
 
 @query("SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

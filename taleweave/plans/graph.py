@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graphs as gr
@@ -22,8 +22,8 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("o_orderpriority").alias("relation_type"), F.col("o_orderstatus").alias("polarity"), ((F.col("l_orderkey") % 97) / 100.0).alias("confidence"), F.col("month").alias("chapter_order"), F.col("l_orderkey").alias("pos"))
 
 
-def category() -> F.Column:
-    return F.when(F.col("relation_type").rlike("URGENT"), "rival").when(F.col("relation_type").rlike("HIGH|MEDIUM"), "friend").when(F.col("polarity") == "F", "enemy").otherwise("other")
+def category() -> Column:
+    return gr.classified(F.col("relation_type"), F.col("polarity"), {"rival": "URGENT", "friend": "HIGH|MEDIUM"}, {"F": "enemy"})
 
 
 MEET = """s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
@@ -60,8 +60,7 @@ def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MEET}, {SYM}, c AS (SELECT DISTINCT node, month FROM y) SELECT x.node AS a, z.node AS b, count(*) AS n_shared FROM c x JOIN c z ON x.month = z.month AND x.node < z.node GROUP BY ALL")
 def shared_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = gr.symmetric(meetings(spark, sf_dir), ["month"]).select("node", "month").distinct()
-    return gr.pairs_within(ends, "month", "node").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    return gr.shared_groups(gr.symmetric(meetings(spark, sf_dir), ["month"]), "month", "node")
 
 
 @query(f"WITH {MEET}, {SYM} SELECT node, count(*) AS degree, sum(w)::BIGINT AS total FROM y GROUP BY node")
