@@ -29,7 +29,7 @@ from .common import written
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1_500_000
 #: Labels up to which their counts are broadcast.
 BROADCAST_LABELS = 10_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 DENSE_CELLS = 1 << 24
 UND = "und"
 

@@ -484,3 +484,24 @@ def test_extra_columns_that_clash(spark, docs):
     assert decontaminate.decontaminate(odd, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == docs.count()
     assert simhash.keep_one(odd).columns == odd.columns
     assert pii.find_pii(odd).count() == licenses.scan_licenses(odd).count() == docs.count()
+
+
+def test_columns_of_other_operators_do_not_clash(spark, docs):
+    odd = docs.withColumns({c: F.lit("mine") for c in ("lang_pred", "score", "bits_per_byte", "n_bytes", "n_tokens", "over_limit", "fingerprint", "component_id", "root", "fp", "h", "r", "before", "n")})
+    n = docs.count()
+    assert langid.identify(odd, langid.train(odd)).count() == n
+    assert token_counts.count_tokens(odd, public_tokenizers.path("byte_bpe_50k.json")).count() == n
+    assert simhash.simhash_components(odd).count() == n
+    pages = spark.createDataFrame([(1, "u", "<article><p>a b c d e f g</p></article>", "mine", "mine")], "page_id long, url string, html string, text string, n_chars string")
+    assert [tuple(x) for x in html_extract.extract_main_text(pages).collect()] == [(1, "u", "a b c d e f g", 13)]
+
+
+def test_long_texts(spark):
+    """A license and an item at the end of a text of fifty thousand words, between words of their own."""
+    item = " ".join(f"item{k}" for k in range(40))
+    text = " ".join(["word", "another"] * 25_000) + " Released under the MIT License. " + item
+    docs = spark.createDataFrame([(1, text), (2, text[:1000])], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan_licenses(docs).collect()}
+    assert got[1].labels == "mit" and got[1].n_base == 1 and got[1].first_word == 50_001 and got[2].labels == ""
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {x.doc_id: x.item_ids for x in found} == {1: "7", 2: ""}
