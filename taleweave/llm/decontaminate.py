@@ -57,7 +57,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str, id: str, item
     full = written(pairs.distinct().withColumn("n", F.count("*").over(Window.partitionBy("item"))), "items")
     signed = signatures(full, threshold)
     key = [F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__text")]
-    probes = docs.select(*key, F.explode(shingles(F.col(text), shingle)).alias("h"))
+    # the text ends here: beside the generator its hash would be made anew for each shingle
+    probes = docs.select(*key, shingles(F.col(text), shingle).alias("hs")).select("__id", "__text", F.explode("hs").alias("h"))
     found = written(probes.join(signed, "h").select("__id", "__text", "item").distinct(), "candidates")
     near = found.select(F.col("__id").alias("__of"), F.col("__text").alias("__in")).distinct()
     same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__text") == F.col("__in"))
