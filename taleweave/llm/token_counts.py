@@ -5,7 +5,8 @@ pieces at safe boundaries and the pieces are encoded in batches of about ``batch
 never leave the batch. A boundary is safe before white space that follows anything else, and between a letter and a
 full-width stop or comma: the pre-tokenizer of a byte-level vocabulary always ends a token there, whatever stands
 around it. Texts are cut only if no special string holds such a boundary. A run without a boundary stays whole, so
-counts are those of the whole text.
+counts are those of the whole text. Pieces with a long run of white space go through the tokenizer file's own library,
+as the pattern of the faster one gives up on such runs.
 
 Null and empty texts count 0 bytes and 0 tokens. Special strings inside a text count as their one special
 token, which is the tokenizer file's own default. Repeated rows and null keys pass through unchanged.
@@ -39,24 +40,14 @@ def pieces(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function from a list of texts to their token counts, and whether a text may be cut at safe boundaries.
+#: A run of white space that the faster library is not asked to split.
+LONG_SPACE = re.compile(r"\s{4096}")
 
-    The file's vocabulary is encoded by the faster of the two installed libraries where the file is a plain
-    byte-level BPE, and by its own library otherwise; ``tests/llm`` holds the two equal.
-    """
-    from tokenizers import Tokenizer
 
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)], False
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE without anything else."""
     before = spec.get("pre_tokenizer") or {}
-    plain = (
+    return (
         spec["model"].get("type", "BPE") == "BPE"
         and before.get("type") == "ByteLevel"
         and not before.get("add_prefix_space")
@@ -65,23 +56,52 @@ def encoder(path: str):
         and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
     )
-    if not plain:
-        own = Tokenizer.from_file(path)
-        own.no_truncation()
-        own.no_padding()
-        return lambda texts: [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)], False
+
+
+def own_library(path: str):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+def byte_level(path: str, spec: dict, special: dict[str, int]):
+    """A function from a list of texts to their ids, for a plain byte-level file; strings not in ``special`` are plain text.
+
+    The file's vocabulary is encoded by the faster of the two installed libraries; ``tests/llm`` holds the two equal.
+    """
     import tiktoken
 
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {as_bytes(token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    cuts = not any(SAFE.search(f"x{t}x") for t in special)
+    own = own_library(path)
+    own.encode_special_tokens = not special
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {as_bytes(token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    fast, allowed = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special), set(special)
+
+    def ids(texts: list[str]) -> list[list[int]]:
+        return [own.encode(t, add_special_tokens=False).ids if LONG_SPACE.search(t) else fast.encode(t, allowed_special=allowed, disallowed_special=()) for t in texts]
 
-    def count(texts: list[str]) -> list[int]:
-        return [len(fast.encode(t, allowed_special=allowed, disallowed_special=())) for t in texts]
+    return ids
 
-    return count, cuts
+
+@lru_cache(maxsize=4)
+def encoder(path: str):
+    """A function from a list of texts to their token counts, and whether a text may be cut at safe boundaries."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)], False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not plain_byte_level(spec):
+        own = own_library(path)
+        return lambda texts: [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)], False
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ids = byte_level(path, spec, special)
+    return lambda texts: [len(x) for x in ids(texts)], not any(SAFE.search(f"x{t}x") for t in special)
 
 
 #: The split that the ByteLevel pre-tokenizer stands for (a published constant of that format).
