@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, linededup, mixing, pii, simhash, token_counts, topk
-from .common import table
+from . import alignment, decontaminate, html_extract, langid, licenses, linededup, mixing, pieces, pii, simhash, token_counts, topk, whitening
+from .common import table, written
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,45 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path, end=True), path)
+    digest = lambda text: F.sha2(text, 256)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+        F.xxhash64("starts", "ends").alias("spans_hash"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    kept = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"), "alignment")
+    scored = alignment.score(kept)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return kept.drop("links").join(scored, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", number("n_links"), number("n_best"), number("count_sum"), "groups_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+REGISTERED = (
+    op1_mixing, op2_line_dedup, op3_licenses, op4_langid, op5_pii, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk,
+    op11_sentencepiece, op12_alignment, op13_whitening,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_licenses, op4_langid, op5_pii, op6_token_counts, op7_decontaminate, op8_html_extract, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 OP10_SQL = """
