@@ -18,9 +18,8 @@ frequent, are sent to all tasks; links whose pair is not among them, none of whi
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,64 +28,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .pieces import codec, lists, slices
-from .token_counts import SAFE, as_bytes, byte_level, pieces, plain_byte_level
+from .pieces import SPACE, codec, lists, slices
+from .token_counts import as_bytes, byte_level, pieces, plain_byte_level
 
 #: Pairs of ids whose counts are broadcast at most: about 100 MB in a task's memory.
 BROADCAST_PAIRS = 2_000_000
 
 
 class Side:
-    """One tokenizer: ids of many texts at once, and the bytes of each id."""
-
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], spelled: list[bytes]) -> None:
-        self.encode, self.spelled = encode, spelled
-        self.width = np.array([len(b) for b in spelled], np.int64)
-        self.names = np.array([str(i) for i in range(len(spelled))], object)
+    """One tokenizer: ids of many texts at once, the bytes of each id, and its number with what may follow it."""
+
+    def __init__(self, widths: list[int], marks: str) -> None:
+        self.width = np.array(widths, np.int64)
+        self.inner, self.last = (np.array([f"{i}{mark}" for i in range(len(widths))], object) for mark in marks)
+
+    def read(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text with a space before it, and whether the tokenizer reads just that."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether they spell a space and the text: tokens are what is read piece by piece, so it is enough that none of its bytes is left out."""
+        ids, same = self.read(texts)
+        return ids, [ok and int(self.width[i].sum()) == 1 + len(t.encode()) for i, ok, t in zip(ids, same, texts, strict=True)]
+
+
+class ByteLevel(Side):
+    def __init__(self, path: str, marks: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if not plain_byte_level(spec):
+            raise ValueError(f"{path}: not a plain byte-level vocabulary")
+        added = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        by_id = {i: as_bytes(t) for t, i in spec["model"]["vocab"].items() if i not in added} | {i: t.encode() for i, t in added.items()}
+        super().__init__([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)], marks)
+        self.ids = byte_level(path, spec, {})
+
+    def read(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        parts = [list(pieces(f" {t}", 16_384)) for t in texts]
+        got = iter(self.ids([p for ps in parts for p in ps]))
+        return [np.concatenate([np.array(next(got), np.int32) for _ in ps]) for ps in parts], [True] * len(texts)
 
 
-@lru_cache(maxsize=4)
-def side(path: str) -> Side:
-    if path.endswith(".model"):
-        model = codec(path)
-        if not model.fallback or not model.normalise.dummy or model.normalise.suffix:
+class Pieces(Side):
+    def __init__(self, path: str, marks: str) -> None:
+        self.codec = codec(path)
+        if not self.codec.fallback or not self.codec.normalise.dummy or self.codec.normalise.suffix:
             raise ValueError(f"{path}: a model with byte pieces that puts a space before the text is needed")
-        return Side(lambda texts: [ids for ids, _, _ in model.encode(texts)], [b.decode().replace("▁", " ").encode() if len(b) > 1 else b for b in model.bytes])
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if not plain_byte_level(spec):
-        raise ValueError(f"{path}: not a plain byte-level vocabulary")
-    ids = byte_level(path, spec, {})
-    added = {t["id"]: t["content"] for t in spec["added_tokens"]}
-    by_id = {i: as_bytes(t) for t, i in spec["model"]["vocab"].items() if i not in added} | {i: t.encode() for i, t in added.items()}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        parts = [list(pieces(f" {t}", 16_384)) for t in texts]
-        got = iter(ids([p for ps in parts for p in ps]))
-        return [np.fromiter(chain.from_iterable(next(got) for _ in ps), np.int32) for ps in parts]
+        super().__init__([len(b.decode().replace(SPACE, " ").encode()) if len(b) > 1 else 1 for b in self.codec.bytes], marks)
 
-    return Side(encode, [by_id.get(i, b"") for i in range(max(by_id) + 1)])
+    def read(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        norms = [self.codec.normalised(t) for t in texts]
+        # a text with a character that the model writes a space as doesn't come back
+        return self.codec.ids(norms), [n.replace(SPACE, " ") == f" {t}" for t, n in zip(texts, norms, strict=True)]
 
 
-def spells(tokenizer: Side, ids: list[np.ndarray], raw: list[bytes]) -> list[bool]:
-    """Whether the joined bytes of each document's tokens are its own; documents are looked at singly only if some differ."""
-    word = tokenizer.spelled.__getitem__
-    if b"".join(map(word, np.concatenate(ids).tolist())) == b"".join(raw) and all(int(tokenizer.width[i].sum()) == len(r) for i, r in zip(ids, raw, strict=True)):
-        return [True] * len(raw)
-    return [b"".join(map(word, i.tolist())) == r for i, r in zip(ids, raw, strict=True)]
+@lru_cache(maxsize=4)
+def side(path: str, marks: str = ",|") -> Side:
+    return (Pieces if path.endswith(".model") else ByteLevel)(path, marks)
 
 
 class Aligned:
     """The tokens of both sides of some documents, laid end to end."""
 
-    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], left: Side, right: Side, sizes: list[int]) -> None:
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], left: Side, right: Side) -> None:
         self.left, self.right = left, right
         self.n_a, self.n_b = (np.array([len(x) for x in ids]) for ids in (a, b))
         self.a, self.b = np.concatenate(a), np.concatenate(b)
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         if not left.width[self.a].all() or not right.width[self.b].all():
             raise ValueError("a token without bytes has no place")
         self.ends_a, self.ends_b = np.cumsum(left.width[self.a]), np.cumsum(right.width[self.b])
+        # both sides of a document spell the same bytes
+        self.bounds = np.concatenate([[0], self.ends_a[np.cumsum(self.n_a) - 1]])
         n = int(self.bounds[-1]) + 1
         marks_a, marks_b = np.bincount(self.ends_a, minlength=n), np.bincount(self.ends_b, minlength=n)
         self.cut = (marks_a > 0) & (marks_b > 0)
@@ -108,8 +120,8 @@ class Aligned:
         place_a = np.arange(len(self.a)) + self.upto_b[begins[group_a]]
         place_b = np.arange(len(self.b)) + self.upto_a[begins[group_b + 1]]
         out = np.empty(len(self.a) + len(self.b), object)
-        out[place_a] = self.left.names[self.a] + np.where(closes_a, "|", ",").astype(object)
-        out[place_b] = self.right.names[self.b] + np.where(closes_b, ";", ",").astype(object)
+        out[place_a] = np.where(closes_a, self.left.last[self.a], self.left.inner[self.a])
+        out[place_b] = np.where(closes_b, self.right.last[self.b], self.right.inner[self.b])
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         return ["".join(out[s:e])[:-1] for s, e in zip([0, *ends], ends)]
 
@@ -123,7 +135,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text: str = "text", keys
     schema = T.StructType([*(docs.schema[k] for k in keys), *counts, T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = side(a_path), side(b_path)
+        left, right = side(a_path, ",|"), side(b_path, ",;")
         for batch in batches:
             texts = [x or "" for x in batch.column(len(keys)).to_pylist()]
             for part in slices([len(t) for t in texts], batch_bytes):
@@ -136,14 +148,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, text: str = "text", keys
 
 def aligned(texts: list[str], left: Side, right: Side) -> list[pa.Array]:
     given = [k for k, t in enumerate(texts) if t]
-    a, b, raw = left.encode([texts[k] for k in given]), right.encode([texts[k] for k in given]), [f" {texts[k]}".encode() for k in given]
-    if given:
-        good = [k for k, (x, y) in enumerate(zip(spells(left, a, raw), spells(right, b, raw), strict=True)) if x and y]
-        given, a, b, raw = ([x[k] for k in good] for x in (given, a, b, raw))
+    (a, sound_a), (b, sound_b) = (tokenizer.encode([texts[k] for k in given]) for tokenizer in (left, right))
+    good = [k for k, (x, y) in enumerate(zip(sound_a, sound_b, strict=True)) if x and y]
+    given, a, b = ([x[k] for k in good] for x in (given, a, b))
     numbers, groups = np.zeros((3, len(texts)), np.int64), [""] * len(texts)
     links = [np.empty(0, np.int64)] * len(texts)
     if given:
-        found = Aligned(a, b, left, right, [len(r) for r in raw])
+        found = Aligned(a, b, left, right)
         numbers[:, given] = [found.n_a, found.n_b, found.n_groups]
         for k, g, pairs in zip(given, found.groups(), found.links(), strict=True):
             groups[k], links[k] = g, pairs

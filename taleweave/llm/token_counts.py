@@ -58,12 +58,15 @@ def plain_byte_level(spec: dict) -> bool:
     )
 
 
-def own_library(path: str):
+@lru_cache(maxsize=4)
+def own_library(path: str, plain: bool = False):
+    """The tokenizer as its own library reads it; ``plain``: special strings are ordinary text."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
+    own.encode_special_tokens = plain
     return own
 
 
@@ -74,14 +77,12 @@ def byte_level(path: str, spec: dict, special: dict[str, int]):
     """
     import tiktoken
 
-    own = own_library(path)
-    own.encode_special_tokens = not special
     added = {t["content"] for t in spec["added_tokens"]}
     ranks = {as_bytes(token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     fast, allowed = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special), set(special)
 
     def ids(texts: list[str]) -> list[list[int]]:
-        return [own.encode(t, add_special_tokens=False).ids if LONG_SPACE.search(t) else fast.encode(t, allowed_special=allowed, disallowed_special=()) for t in texts]
+        return [own_library(path, not special).encode(t, add_special_tokens=False).ids if LONG_SPACE.search(t) else fast.encode(t, allowed_special=allowed, disallowed_special=()) for t in texts]
 
     return ids
 

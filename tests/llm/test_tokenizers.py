@@ -47,7 +47,7 @@ VARIANTS = [{}, {"rule": "nmt_nfkc", "squeeze": True}, {"rule": "nfkc", "dummy":
 def test_ids_and_spans_are_the_librarys(kind):
     model = variant(**kind)
     library, texts = sentencepiece.SentencePieceProcessor(model_proto=model), noise(1, 1500)
-    for text, (ids, starts, ends) in zip(texts, pieces.Codec(model).encode(texts, limit=8), strict=True):
+    for text, (ids, starts, ends) in zip(texts, pieces.Codec(model).encode(texts), strict=True):
         want = [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
         assert list(zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)) == want, repr(text)
 
@@ -147,7 +147,7 @@ def test_alignment_of_long_texts(spark, docs, rows):
     own.encode_special_tokens = True
     want = {t: own.encode(f" {t}", add_special_tokens=False).ids for _, t, *_ in rows if t and len(t) > 5000}
     texts = sorted(want)
-    left, right = alignment.side(BYTES), alignment.side(MODEL)
+    left, right = alignment.side(BYTES, ",|"), alignment.side(MODEL, ",;")
     n_a, n_b, n_groups, groups, links = (x.to_pylist() for x in alignment.aligned(texts, left, right))
     for k, t in enumerate(texts):
         assert n_a[k] == len(want[t]) and n_groups[k] == len(links[k]) == groups[k].count("|") and n_b[k]
