@@ -126,7 +126,7 @@ class Aligned:
         return ["".join(out[s:e])[:-1] for s, e in zip([0, *ends], ends)]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 20) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 18) -> DataFrame:
     """``keys``, ``n_a``, ``n_b``, ``n_groups``, ``groups`` and ``links`` (pairs of ids as longs, the first in the upper half) of every row.
 
     One narrow pass; a task holds an Arrow batch of texts and the tokens of about ``batch_bytes`` of them.

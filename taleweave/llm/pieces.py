@@ -4,8 +4,8 @@ A text is normalised here, not by the library: the model's compiled character ma
 is opened into its rules once a worker, and at each place the longest rule that fits replaces what it matches, after
 the model's own symbols. Every normalised character remembers the byte at which its source stands. Spaces are then
 dropped, escaped and prefixed as the model says. What comes out is encoded by the library with the same model whose
-normaliser is switched off, word by word if no piece of the vocabulary goes on behind a word's end (a word that a worker
-has met is looked up), and the pieces' lengths, summed up, give their places in the normalised text and through it in the source. A piece that ends inside what one
+normaliser is switched off, in stretches cut at words' ends if no piece of the vocabulary goes on behind one, and the
+pieces' lengths, summed up, give their places in the normalised text and through it in the source. A piece that ends inside what one
 rule made ends where that rule's source begins; of the bytes of a character that the vocabulary lacks the last one
 has the character's span, the others an empty one at its start. All this is the library's own convention.
 
@@ -18,9 +18,8 @@ pass through, other columns are not read, and an empty table gives an empty resu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
+WORD_END = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 #: Kinds of pieces in a model file.
 SYMBOL, BYTE = 4, 6
 BPE = 2
@@ -163,38 +163,6 @@ def widths(code: np.ndarray) -> np.ndarray:
     return 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
 
 
-class Words:
-    """Ids of words that are encoded on their own, remembered up to a bounded number of characters."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1 << 20) -> None:
-        self.encode, self.most = encode, most
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.held, self.ids, self.ends = 0, [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-
-    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each text, given as its words."""
-        if self.held > self.most:
-            self.forget()
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.place]
-        if fresh:
-            found = self.encode(fresh)
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            self.held += sum(map(len, fresh))
-            self.ends.append(self.ends[-1][-1] + np.cumsum([len(f) for f in found]))
-            self.ids.append(np.fromiter(chain.from_iterable(found), np.int32))
-            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        out = []
-        for words in texts:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            starts, n = self.ends[0][at], self.ends[0][at + 1] - self.ends[0][at]
-            upto = np.cumsum(n)
-            out.append(self.ids[0][np.arange(upto[-1] if len(n) else 0) + np.repeat(starts - upto + n, n)])
-        return out
-
-
 class Codec:
     """A model file, its normaliser, and the same model without one."""
 
@@ -214,7 +182,6 @@ class Codec:
         proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
-        self.words = Words(lambda texts: self.bare.encode(texts, num_threads=1))
 
     @cached_property
     def own(self):
@@ -222,17 +189,19 @@ class Codec:
 
         return sentencepiece.SentencePieceProcessor(model_proto=self.model)
 
-    def ids(self, norms: list[str]) -> list[np.ndarray]:
-        """Ids of normalised texts."""
-        return self.words.of([self.cut(n) if self.apart else [n] for n in norms])
+    def stretches(self, norm: str, limit: int) -> Iterator[str]:
+        """Parts of a normalised text of ``limit`` characters or a little more, between which no piece and so no merge crosses."""
+        start = 0
+        while self.apart and len(norm) - start > limit and (end := WORD_END.search(norm, start + limit)):
+            yield norm[start : end.start()]
+            start = end.start()
+        yield norm[start:]
 
-    @staticmethod
-    def cut(norm: str) -> list[str]:
-        """A normalised text in words with the spaces before them."""
-        words = norm.split(SPACE)
-        if "" not in words[1:]:
-            return [w for w in words[:1] if w] + [SPACE + w for w in words[1:]]
-        return re.split(f"(?<=[^{SPACE}])(?={SPACE})", norm)
+    def ids(self, norms: list[str], limit: int = 4096) -> list[np.ndarray]:
+        """Ids of normalised texts."""
+        parts = [list(self.stretches(n, limit)) for n in norms]
+        got = iter(self.bare.encode([p for ps in parts for p in ps], num_threads=1) if parts else ())
+        return [np.concatenate([np.array(next(got), np.int32) for _ in ps]) for ps in parts]
 
     def normalised(self, text: str) -> str:
         n = self.normalise
@@ -240,12 +209,12 @@ class Codec:
             return n(text)[0] if text else ""
         return (SPACE if n.dummy else "") + text.replace(" ", SPACE)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str], limit: int = 4096) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """ids, starts and ends of the pieces of each text."""
         made = [self.normalise(t) if t else ("", np.zeros(1, np.int64)) for t in texts]
         if not self.fallback:
             return [self.spelled(*m) for m in made]
-        ids = self.ids([norm for norm, _ in made])
+        ids = self.ids([norm for norm, _ in made], limit)
         return [(i, *self.spans(norm, at, np.cumsum(self.width[i]))) for i, (norm, at) in zip(ids, made, strict=True)]
 
     def spans(self, norm: str, at: np.ndarray, ends: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +252,7 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.empty(0)]), kind, safe=False))
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), begin: bool = False, end: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), begin: bool = False, end: bool = False, batch_bytes: int = 1 << 18) -> DataFrame:
     """``keys``, ``ids``, ``starts`` and ``ends`` of every row; ``begin`` and ``end`` add those ids, with empty spans.
 
     ``path`` is the model file as every executor sees it.
@@ -308,7 +277,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keys: tuple[str, .
     return docs.select(*keys, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded", batch_bytes: int = 1 << 20) -> DataFrame:
+def decode(encoded: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded", batch_bytes: int = 1 << 18) -> DataFrame:
     """``encoded`` with the text of ``ids`` in ``out``: control pieces give nothing, bytes that are no character U+FFFD."""
     schema = T.StructType([*encoded.schema, T.StructField(out, T.StringType())])
     at = encoded.columns.index(ids)
