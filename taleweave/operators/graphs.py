@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .entities import mode_first
@@ -16,9 +16,8 @@ from .entities import mode_first
 MOST_COMMUNITIES = 20_000
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir, which all executors share; ours only where none is set, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; ours only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
@@ -26,7 +25,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="taleweave-")
         spark.sparkContext.setCheckpointDir(folder) if not current.isDefined() else None
-    path = f"{folder.rstrip('/')}/taleweave-{what}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/taleweave-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import asking, casts, dialogue, entity, graph, operations, retrieval, stores, story, structure  # noqa: F401
+    from . import asking, casts, dialogue, entity, graph, indexes, operations, retrieval, stores, story, structure  # noqa: F401
