@@ -12,7 +12,7 @@ for; a null text has none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +66,11 @@ def batch(rows: list[tuple], ids: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], names=["id", "start", "end", "name"])
 
 
-def located(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
-    """``id``, ``start``, ``end``, ``name``: where the ``names(name)`` stand in ``texts(id, text)``, ids being unique."""
+def passes(texts: DataFrame, names: DataFrame, most_names: int, keep: Callable[[list[Place], int], list[Place]]) -> tuple[DataFrame, int]:
+    """``id``, ``start``, ``end``, ``name`` of what ``keep(places, parts)`` leaves of each text's places, and the number of passes."""
     known = names.select("name").where(F.length("name") >= 2).distinct()
-    parts = max(1, math.ceil(known.count() / (most_names if known.count() <= most_names else most_names / 2)))
+    n = known.count()
+    parts = 1 if n <= most_names else math.ceil(2 * n / most_names)
     schema = f"id {texts.schema['id'].dataType.simpleString()}, start int, end int, name string"
     rows = texts.where(F.col("text").isNotNull()).select("id", "text")
     out = None
@@ -82,11 +83,25 @@ def located(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) ->
             for b in batches:
                 for start in range(0, b.num_rows, 256):
                     some = b.slice(start, 256)
-                    each = ((k, places(t, found)) for k, t in enumerate(some.column(1).to_pylist()))
-                    yield batch([(k, *p) for k, ps in each for p in (settled(ps) if parts == 1 else ps)], some.column(0))
+                    yield batch([(k, *p) for k, t in enumerate(some.column(1).to_pylist()) for p in keep(places(t, found), parts)], some.column(0))
 
         hits = rows.mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
+    return out, parts
+
+
+def present(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """``id``, ``name``: which ``names(name)`` of two characters or more each of ``texts(id, text)`` holds, inside of longer ones too."""
+
+    def once(every: list[Place], parts: int) -> list[Place]:
+        return list({p[2]: p for p in every}.values())
+
+    return passes(texts, names, most_names, once)[0].select("id", "name")
+
+
+def located(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """``id``, ``start``, ``end``, ``name``: where the ``names(name)`` stand in ``texts(id, text)``, ids being unique."""
+    out, parts = passes(texts, names, most_names, lambda every, parts: settled(every) if parts == 1 else every)
     if parts == 1:
         return out
 
@@ -94,7 +109,7 @@ def located(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) ->
         found = settled(zip(*(group[c].to_pylist() for c in ("start", "end", "name")), strict=True))
         return pa.Table.from_batches([batch([(0, *p) for p in found], group["id"].combine_chunks())])
 
-    return out.groupBy("id").applyInArrow(settle, schema)
+    return out.groupBy("id").applyInArrow(settle, out.schema)
 
 
 def inventory(texts: DataFrame, names: DataFrame, least: int = 2, short: int = 3000) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import speech as sp
+from ..operators import allocation, portraits, sounds, specs
 from ..operators import inventory as iv
-from ..operators import sounds, specs
 from ..operators import structure as st
 from . import query, structure, table
 
@@ -74,3 +75,53 @@ p AS (SELECT x.name AS a, y.name AS b, len(x.s) AS n, len(list_filter(list_zip(x
 SELECT a, b, CASE WHEN differ = 0 THEN 1 ELSE round(1 - 1 / n, 6) END::DOUBLE AS likeness FROM p WHERE differ = 0 OR (differ = 1 AND n >= 2)""")
 def sound_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sounds.sounding_alike(sounds.with_syllables(words(spark, sf_dir, "^[a-z]{2,}$")))
+
+
+#: Speakers are the first words of turns, their first four letters the canonical names; narration is that of ``benchmark``.
+STORY = """t AS (SELECT conv_id AS block, turn AS pos, regexp_extract(lower(coalesce(text, '')), '^([a-z]{4,})', 1) AS speaker, text AS content,
+ CASE WHEN regexp_matches(coalesce(text, ''), '(?i)shout|angry|furious') THEN 'angry' WHEN regexp_matches(coalesce(text, ''), '(?i)sob|sigh|tear') THEN 'sad' WHEN regexp_matches(coalesce(text, ''), '(?i)laugh|smile|grin') THEN 'happy' WHEN regexp_matches(coalesce(text, ''), '(?i)fear|afraid|tremble') THEN 'afraid' ELSE 'plain' END AS mood FROM conversations),
+s AS (SELECT item_id * 1000 + i AS id, trim(x) AS text FROM (SELECT item_id, unnest(range(0, len(string_split_regex(lower(text), '[.!?\n]')))) AS i, unnest(string_split_regex(lower(text), '[.!?\n]')) AS x FROM benchmark) WHERE trim(x) <> ''),
+said AS (SELECT * FROM t WHERE speaker <> ''), nm AS (SELECT DISTINCT speaker AS name FROM said), named AS (SELECT id, name FROM s JOIN nm ON contains(text, name)),
+met AS (SELECT DISTINCT block, speaker FROM said),
+raw AS (SELECT speaker AS raw, 'appearance' AS counter, '' AS key, count(*) AS n FROM said GROUP BY ALL UNION ALL SELECT speaker, 'dialogue', '', count(*) FROM said GROUP BY ALL UNION ALL SELECT name, 'appearance', '', count(*) FROM named GROUP BY ALL
+ UNION ALL SELECT speaker, 'mood', mood, count(*) FROM said GROUP BY ALL UNION ALL SELECT x.speaker, 'with', left(y.speaker, 4), count(*) FROM met x JOIN met y ON x.block = y.block AND x.speaker <> y.speaker GROUP BY ALL
+ UNION ALL SELECT x.name, 'with', left(y.name, 4), count(*) FROM named x JOIN named y ON x.id = y.id AND x.name <> y.name GROUP BY ALL),
+cnt AS (SELECT left(raw, 4) AS name, counter, key, sum(n)::BIGINT AS n FROM raw WHERE counter <> 'with' OR left(raw, 4) <> key GROUP BY ALL)"""
+
+
+def told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    text = F.coalesce("text", F.lit(""))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("block"), F.col("turn").alias("pos"), F.regexp_extract(F.lower(text), "^([a-z]{4,})", 1).alias("speaker"), F.col("text").alias("content"), sp.mood(F.col("text")).alias("mood"))
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), r"[.!?\n]", -1)).alias("i", "x"))
+    sentences = each.select((F.col("item_id") * 1000 + F.col("i")).alias("id"), F.trim("x").alias("text")).where("text <> ''")
+    aliases = turns.where("speaker <> ''").select(F.col("speaker").alias("alias"), F.left("speaker", F.lit(4)).alias("canonical")).distinct()
+    return turns, sentences, aliases
+
+
+@query(f"WITH {STORY} SELECT * FROM cnt")
+def character_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portraits.counters(*told(spark, sf_dir))
+
+
+@query()
+def character_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, sentences, aliases = told(spark, sf_dir)
+    return portraits.cards(portraits.statistics(portraits.counters(turns, sentences, aliases)), turns, sentences, aliases)
+
+
+@query("""WITH e AS (SELECT (user_id % 10)::BIGINT AS volume, day(ts)::INTEGER AS chapter, (hour(ts) // 4)::INTEGER AS "window", event_type AS name FROM events),
+y AS (SELECT volume, chapter, "window", name, count(*) AS turns FROM e GROUP BY ALL), a AS (SELECT volume, chapter, count(*) AS activity FROM e GROUP BY ALL),
+w AS (SELECT volume, chapter, "window", activity, row_number() OVER (PARTITION BY volume, chapter ORDER BY "window") AS n FROM (SELECT DISTINCT volume, chapter, "window" FROM y) JOIN a USING (volume, chapter)),
+p AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY n, activity DESC, chapter, "window") AS place FROM w WHERE n <= 3),
+b AS (SELECT volume, chapter, "window", place, coalesce(sum(turns) OVER (PARTITION BY volume, name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < CASE WHEN name IN ('view', 'click') THEN 12 WHEN name = 'error' THEN 40 ELSE 0 END AS open FROM y JOIN p USING (volume, chapter, "window")),
+o AS (SELECT volume, chapter, "window", max(open::INT) AS open FROM b GROUP BY ALL), u AS (SELECT p.*, open, sum(open) OVER (PARTITION BY volume ORDER BY place) AS upto FROM p JOIN o USING (volume, chapter, "window"))
+SELECT volume, chapter, "window", activity, place::INTEGER AS place, CASE WHEN open = 1 AND upto <= 30 THEN upto END::INTEGER AS call, CASE WHEN open = 0 THEN 'met' WHEN upto > 30 THEN 'budget' END AS reason FROM u
+UNION ALL SELECT volume, chapter, "window", activity, NULL, NULL, 'chapter_cap' FROM w WHERE n > 3""")
+def call_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days are chapters, four hours a window, event types the names."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("volume"), F.dayofmonth("ts").alias("chapter"), F.floor(F.hour("ts") / 4).cast("int").alias("window"), F.col("event_type").alias("name"))
+    yields = e.groupBy("volume", "chapter", "window", "name").agg(F.count("*").alias("turns"))
+    activity = e.groupBy("volume", "chapter").agg(F.count("*").alias("activity"))
+    windows = yields.select("volume", "chapter", "window").distinct().join(activity, ["volume", "chapter"])
+    quotas = spark.createDataFrame([("view", 12), ("click", 12), ("error", 40)], "name string, quota int")
+    return allocation.planned_calls(windows, yields, quotas, "volume", 30)

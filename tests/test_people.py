@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from taleweave.operators import inventory, sounds, specs
+from taleweave.operators import allocation, inventory, portraits, sounds, specs
 
 
 def brute_places(text, names):
@@ -38,6 +38,8 @@ def test_names_are_located(spark, cast, most):
     got = inventory.located(t, spark.createDataFrame([(n,) for n in names], "name string"), most_names=most).collect()
     want = sorted((k, *p) for k, x in enumerate(texts) if x for p in brute_places(x, names))
     assert sorted(map(tuple, got)) == want and len(want) > 500
+    held = sorted((k, n) for k, x in enumerate(texts) for n in set(names) if x and n and len(n) >= 2 and n in x)
+    assert sorted(map(tuple, inventory.present(t, spark.createDataFrame([(n,) for n in names], "name string"), most).collect())) == held
 
 
 def test_no_names_and_no_texts(spark):
@@ -110,3 +112,52 @@ def test_sounds(spark):
     assert {(x.a, x.b): x.likeness for x in got} == want and len(got) == len(want)
     both = spark.createDataFrame([(said[a], said[b]) for a, b in want], "a array<string>, b array<string>")
     assert sorted(round(x[0], 6) for x in both.select(sounds.sound_likeness(F.col("a"), F.col("b"))).collect()) == sorted(want.values())
+
+
+def test_calls_go_on_to_the_next_window(spark):
+    r = random.Random(4)
+    windows = [(v, c, w, r.randrange(5)) for v in "ab" for c in range(6) for w in range(r.randrange(1, 6))]
+    yields = [(v, c, w, n, r.randrange(0, 4)) for v, c, w, _ in windows for n in ("A", "B", "C") if r.random() < 0.6]
+    quota, calls = {"A": 5, "B": 9}, 8
+    want = {}
+    for v in "ab":
+        mine = sorted({(c, w, a) for x, c, w, a in windows if x == v})
+        order = sorted(((i, -a, c, w) for c in range(6) for i, (_, w, a) in enumerate(m for m in mine if m[0] == c)), key=lambda x: x)
+        have, made, place = {}, 0, 0
+        for i, _, c, w in order:
+            if i >= 3:
+                want[v, c, w] = (None, None, "chapter_cap")
+                continue
+            place += 1
+            given = {n: t for x, d, y, n, t in yields if (x, d, y) == (v, c, w) and t > 0}
+            if not given:
+                want[v, c, w] = (place, None, "no_names")
+            elif all(have.get(n, 0) >= quota.get(n, 0) for n in given):
+                want[v, c, w] = (place, None, "met")
+            elif made == calls:
+                want[v, c, w] = (place, None, "budget")
+            else:
+                made += 1
+                want[v, c, w] = (place, made, None)
+                for n, t in given.items():
+                    have[n] = have.get(n, 0) + t
+    w = spark.createDataFrame(windows, "v string, chapter int, window int, activity int")
+    y = spark.createDataFrame(yields, "v string, chapter int, window int, name string, turns int")
+    got = allocation.planned_calls(w, y, spark.createDataFrame(list(quota.items()), "name string, quota int"), "v", calls).collect()
+    assert {(x.v, x.chapter, x.window): (x.place, x.call, x.reason) for x in got} == want and len(got) == len(want)
+
+
+def test_portraits(spark):
+    turns = spark.createDataFrame([(1, 1, "Ann", "hi", "happy"), (1, 2, "Bob", "yes", ""), (1, 3, "Annie", "hi", "sad"), (2, 1, "Ann", "go", "happy"), (2, 2, None, "x", "sad"), (2, 3, "", "x", None)], "block int, pos int, speaker string, content string, mood string")
+    sentences = spark.createDataFrame([(1, "Annie met Bob"), (2, "Bob left"), (3, "nobody"), (4, None)], "id int, text string")
+    aliases = spark.createDataFrame([("Annie", "Ann")], "alias string, canonical string")
+    counts = portraits.counters(turns, sentences, aliases)
+    got = {(x.name, x.counter, x.key): x.n for x in counts.collect()}
+    # Ann stands in "Annie met Bob" under both her names
+    assert got == {("Ann", "appearance", ""): 5, ("Ann", "dialogue", ""): 3, ("Bob", "appearance", ""): 3, ("Bob", "dialogue", ""): 1, ("Ann", "mood", "happy"): 2, ("Ann", "mood", "sad"): 1, ("Ann", "with", "Bob"): 4, ("Bob", "with", "Ann"): 4}
+    stats = portraits.statistics(counts)
+    assert {x.name: (x.appearance, x.dialogue, x.moods, x.company) for x in stats.collect()} == {"Ann": (5, 3, "happy=2,sad=1", "Bob=4"), "Bob": (3, 1, "", "Ann=4")}
+    card = {x.name: x for x in portraits.cards(stats, turns, sentences, aliases).collect()}
+    assert card["Ann"].samples == ["hi", "go"] and card["Ann"].aliases == ["Annie"] and card["Bob"].snippets == ["Annie met Bob", "Bob left"]
+    assert card["Ann"].card == "Ann\nalso: Annie\nmoods: happy=2,sad=1\nwith: Bob=4\nsays: hi / go\ntold: Annie met Bob"
+    assert portraits.statistics(portraits.counters(turns.limit(0), sentences, aliases)).collect() == []
