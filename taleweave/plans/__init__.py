@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import asking, casts, dialogue, entity, graph, indexes, operations, people, retrieval, stores, story, structure, voices  # noqa: F401
+    from . import asking, casts, dialogue, entity, graph, indexes, operations, people, retrieval, roleplay, stores, story, structure, voices  # noqa: F401
