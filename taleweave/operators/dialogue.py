@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.speech import clean_speaker
+from .graphs import written
 
 OPEN, CLOSE = r"[\"“「『]", r"[\"”」』]"
 #: (rule, confidence, pattern, group of the speaker, group of what is said) of a line; the first that matches counts, group 0 is nobody.
@@ -50,3 +51,32 @@ def best_matches(left: DataFrame, right: DataFrame, by: str, least: float = 0.45
     scored = both.withColumn("score", score).where(F.col("score") >= least)
     place = lambda one, other: F.row_number().over(Window.partitionBy(by, one).orderBy(F.desc("score"), other))
     return scored.withColumns({"__l": place("l", "r"), "__r": place("r", "l")}).where("__l = 1 AND __r = 1").select(by, "l", "r", "score")
+
+
+def matched_once(left: DataFrame, right: DataFrame, by: str, least: float = 0.45) -> DataFrame:
+    """``by``, ``l``, ``r``, ``score`` as ``best_matches`` scores them, each row of a side in one pair at most: the best pair first, of equals that with the first ``l``, then ``r``; a row whose best partner is taken gets its next best.
+
+    Rows meet by characters: of the rarer ones of its group, as many of a text as a partner of ``least`` likeness must
+    share one of, against all characters of the other. Pairs are taken in rounds: in each those that are each other's
+    best among what is left, which is what taking them one by one from the best on gives.
+    """
+
+    def chars(rows: DataFrame, key: str) -> DataFrame:
+        distinct = F.array_distinct(F.filter(F.split("text", ""), lambda z: z != ""))
+        return rows.where(F.length("text") > 0).select(by, key, F.col("text"), F.size(distinct).alias("n"), F.explode(distinct).alias("c"))
+
+    a, b = chars(left, "l"), chars(right, "r")
+    counts = a.select(by, "c").unionAll(b.select(by, "c")).groupBy(by, "c").agg(F.count("*").alias("df"))
+    head = lambda rows, key: rows.join(counts, [by, "c"]).withColumn("p", F.row_number().over(Window.partitionBy(by, key).orderBy("df", "c"))).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    met = head(a, "l").select(by, "l", "c").join(b.select(by, "r", "c"), [by, "c"]).select(by, "l", "r").unionAll(a.select(by, "l", "c").join(head(b, "r").select(by, "r", "c"), [by, "c"]).select(by, "l", "r")).distinct()
+    both = met.join(left.select(by, "l", F.col("text").alias("x")), [by, "l"]).join(right.select(by, "r", F.col("text").alias("y")), [by, "r"])
+    x, y = (F.array_distinct(F.filter(F.split(F.col(c), ""), lambda z: z != "")) for c in "xy")
+    score = F.when(F.col("x") == F.col("y"), 3.0).when(F.contains("x", "y") | F.contains("y", "x"), 2.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 6))
+    rest = written(both.withColumn("score", score).where(F.col("score") >= least).select(by, "l", "r", "score"), "pairs")
+    taken = rest.limit(0)
+    while not rest.isEmpty():
+        place = lambda one, other: F.row_number().over(Window.partitionBy(by, one).orderBy(F.desc("score"), other))
+        best = written(rest.withColumns({"__l": place("l", "r"), "__r": place("r", "l")}).where("__l = 1 AND __r = 1").select(by, "l", "r", "score"), "matches")
+        taken = taken.unionByName(best)
+        rest = written(rest.join(best.select(by, "l"), [by, "l"], "left_anti").join(best.select(by, "r"), [by, "r"], "left_anti"), "pairs")
+    return taken

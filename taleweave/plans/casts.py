@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import casts as ca
+from ..operators import claims as cl
 from . import graph, query, table
 
 NAMES = "n AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name, item_id FROM benchmark), cast_ AS (SELECT DISTINCT name FROM n WHERE item_id % 2 = 0 AND regexp_full_match(name, '[a-z]{3,12}')), spk AS (SELECT DISTINCT name AS speaker FROM n WHERE item_id % 2 = 1 AND regexp_full_match(name, '[a-z]{3,12}'))"
@@ -164,3 +165,36 @@ def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     return ca.evidence(docs, F.array(*[F.lit(n) for n in names]))
 
+
+CLAIMS = """c AS (SELECT user_id % 10 AS doc, day(ts)::INTEGER AS chapter, event_id AS pos, CASE WHEN event_type IN ('click', 'view') THEN 'relation' WHEN event_type = 'error' THEN 'foreshadow' ELSE 'event' END AS kind,
+ 'u' || user_id % 40 AS s0, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'u' || user_id % 13 END AS t0, CASE WHEN event_id % 17 = 0 THEN '' ELSE props END AS summary, event_id % 50 AS e, CASE WHEN event_id % 4 = 0 THEN (event_id % 7)::INTEGER END AS year FROM events),
+pool AS (SELECT DISTINCT doc, chapter, e FROM c WHERE pos % 3 = 0),
+n AS (SELECT *, CASE WHEN s0 = 'u7' THEN 'u70' ELSE s0 END AS source, CASE WHEN t0 = 'u7' THEN 'u70' ELSE t0 END AS target, kind <> 'relation' AND summary = '' AS empty, (doc, chapter, e) IN (SELECT (doc, chapter, e) FROM pool) AS held FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, chapter, kind, left(summary, 40), empty ORDER BY pos) AS k FROM n),
+j AS (SELECT *, CASE WHEN empty THEN 'empty' WHEN kind = 'relation' AND (target = '' OR source = target OR length(source) < 2 OR length(target) < 2) THEN 'weak' WHEN kind = 'event' AND k > 1 THEN 'repeat' WHEN NOT held THEN 'no_evidence' END AS dropped FROM r)"""
+
+
+def judged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("click", "view"), "relation").when(F.col("event_type") == "error", "foreshadow").otherwise("event")
+    name = lambda n: F.concat(F.lit("u"), (F.col("user_id") % n).cast("string"))
+    blank = lambda n, value: F.when(F.col("event_id") % n == 0, "").otherwise(value)
+    rows = e.select(
+        (F.col("user_id") % 10).alias("doc"), F.dayofmonth("ts").alias("chapter"), F.col("event_id").alias("pos"), kind.alias("kind"), name(40).alias("source"), blank(11, name(13)).alias("target"),
+        blank(17, F.col("props")).alias("summary"), F.col("value").alias("confidence"), F.array(F.col("event_id") % 50).alias("evidence"), F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 7).cast("int")).alias("year"),
+    )
+    pool = rows.where("pos % 3 = 0").select("doc", "chapter", F.explode("evidence").alias("id"))
+    return cl.judged(rows, pool, spark.createDataFrame([("u7", "u70")], "alias string, canonical string"))
+
+
+@query(f"WITH {CLAIMS} SELECT doc, chapter, pos, kind, source, target, summary, year, row_number() OVER (PARTITION BY kind ORDER BY year IS NULL, year, doc, chapter, pos) AS place FROM j WHERE dropped IS NULL")
+def snapshot_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.snapshot(judged_claims(spark, sf_dir)).select("doc", "chapter", "pos", "kind", "source", "target", "summary", "year", "place")
+
+
+@query(f"""WITH {CLAIMS}, ch AS (SELECT doc, chapter, count(*) FILTER (dropped IS NULL) AS kept FROM j GROUP BY ALL)
+SELECT doc, count(*) FILTER (kind = 'event' AND dropped IS NULL) AS events, count(*) FILTER (kind = 'relation' AND dropped IS NULL) AS relations, count(*) FILTER (kind = 'foreshadow' AND dropped IS NULL) AS foreshadows, count(*) FILTER (dropped = 'empty') AS empty, count(*) FILTER (dropped = 'weak') AS weak,
+ count(*) FILTER (dropped = 'repeat') AS repeat, count(*) FILTER (dropped = 'no_evidence') AS no_evidence, (SELECT count(*) FROM ch WHERE ch.doc = j.doc) AS chapters, (SELECT count(*) FROM ch WHERE ch.doc = j.doc AND kept > 0) AS with_claims,
+ round((SELECT count(*) FROM ch WHERE ch.doc = j.doc AND kept > 0) / (SELECT count(*) FROM ch WHERE ch.doc = j.doc), 4)::DOUBLE AS coverage FROM j GROUP BY doc""")
+def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.snapshot_stats(judged_claims(spark, sf_dir))

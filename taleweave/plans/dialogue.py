@@ -39,6 +39,19 @@ def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dl.best_matches(left, t.where("turn % 2 = 0 OR turn % 3 = 1").select("conv_id", F.col("turn").alias("r"), cut.alias("text")), "conv_id")
 
 
+@query(f"""WITH RECURSIVE {LINES}, x AS (SELECT conv_id, turn AS l, line AS x FROM l WHERE turn % 2 = 0), y AS (SELECT conv_id, turn AS r, CASE WHEN turn % 3 = 0 THEN substr(line, 3) ELSE line END AS y FROM l WHERE turn % 2 = 0 OR turn % 3 = 1),
+s AS (SELECT conv_id, l, r, CASE WHEN x = y THEN 3 WHEN contains(x, y) OR contains(y, x) THEN 2 ELSE round(len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) / greatest(len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))), 1), 6) END::DOUBLE AS score FROM x JOIN y USING (conv_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, l, r) AS n FROM s WHERE score >= 0.45),
+g(conv_id, n, l, r, score, take, ls, rs) AS (SELECT conv_id, n, l, r, score, true, [l], [r] FROM k WHERE n = 1
+ UNION ALL SELECT k.conv_id, k.n, k.l, k.r, k.score, NOT (list_contains(g.ls, k.l) OR list_contains(g.rs, k.r)), CASE WHEN list_contains(g.ls, k.l) OR list_contains(g.rs, k.r) THEN g.ls ELSE list_append(g.ls, k.l) END, CASE WHEN list_contains(g.ls, k.l) OR list_contains(g.rs, k.r) THEN g.rs ELSE list_append(g.rs, k.r) END FROM g JOIN k ON k.conv_id = g.conv_id AND k.n = g.n + 1)
+SELECT conv_id, l, r, score FROM g WHERE take""")
+def matches_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    left = t.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("l"), F.col("line").alias("text"))
+    cut = F.when(F.col("turn") % 3 == 0, F.substring("line", 3, 1000)).otherwise(F.col("line"))
+    return dl.matched_once(left, t.where("turn % 2 = 0 OR turn % 3 = 1").select("conv_id", F.col("turn").alias("r"), cut.alias("text")), "conv_id")
+
+
 @query("""SELECT event_id, CASE WHEN value / 100 < 0.35 THEN 'low_confidence' WHEN user_id % 3 = 0 THEN 'no_evidence' END AS reason, event_type = 'error' OR (event_type = 'click' AND regexp_matches(props, '[13579]}')) AS waits, 'u' || user_id || ' - ' || event_type || ' | ' || props AS text FROM events""")
 def channel_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
