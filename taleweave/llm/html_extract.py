@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,8 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Comments, declarations and tags. Quoted attribute values may hold ``>``.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)(?:>|\Z)""", re.S)
+#: Comments, declarations and tags. A quoted value may hold ``>``; with ``<`` in it, what follows it must go on like a
+#: tag. A tag whose quote is never closed ends at its first ``>``, or with the page if no other tag follows.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"""
+    r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^=>]|=\s*(?:"[^"<]*"|'[^'<]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s"'>][^\s>]*|(?=>|\Z)))*+)"""
+    r"""(?:>|\Z|[^>]*>(?=[^<]*<)|.*)""",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
 
@@ -46,6 +53,7 @@ P_ENDERS = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"ul", "ol", "dl", "table", "menu", "select", "article", "section", "div", "main", "aside", "body", "nav", "footer", "header", "form", "blockquote"}
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 AWAY_NAMES = re.compile(
@@ -77,21 +85,32 @@ class Open:
     part: bool
     form: bool
     header: bool
+    is_main: bool
+    heading: bool
     paragraphs: int = 0
     main: bool = False
+    verdict: bool | None = None
+
+    def closed(self) -> None:
+        """Tells the element around it what it held."""
+        if self.outer:
+            self.outer.paragraphs += self.paragraphs + (self.tag == "p")
+            self.outer.main = self.outer.main or self.main or self.is_main
 
     def away(self) -> bool:
         """Of this element or one around it; asked once the page is read, as it depends on what they hold."""
+        unknown: list[Open] = []
         o: Open | None = self
-        while o:
+        while o and o.verdict is None:
+            unknown.append(o)
+            o = o.outer
+        found = bool(o and o.verdict)
+        for o in reversed(unknown):
             holds = o.main or (o.form and o.paragraphs > 2)
-            if o.comment or (o.form and not holds) or ((o.named or o.part) and not holds):
-                return True
             # a header within the article holds its headings; any other is the page's
-            if o.header and not (o.outer and o.outer.here) and not holds:
-                return True
-            o = o.outer
-        return False
+            outside = o.header and not (o.outer and o.outer.here)
+            found = o.verdict = found or o.comment or ((o.form or o.named or o.part or outside) and not holds)
+        return found
 
 
 @dataclass
@@ -129,12 +148,10 @@ def opened(tag: str, source: str, outer: Open | None) -> Open:
     main = tag == "main" or role == "main"
     here = tag in HERE_TAGS or role in ("main", "article") or (tag in BLOCK and said(HERE_NAMES) and not away)
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-    found = Open(tag, outer, bool(outer and outer.link) or tag == "a", bool(outer and outer.dropped) or tag in DROPPED or hidden, outer_here or here, comment, named and not main and tag != "article", part, form, header)
-    o = outer
-    while o and (main or tag == "p"):
-        o.main, o.paragraphs = o.main or main, o.paragraphs + (tag == "p")
-        o = o.outer
-    return found
+    return Open(
+        tag, outer, bool(outer and outer.link) or tag == "a", bool(outer and outer.dropped) or tag in DROPPED or hidden, outer_here or here, comment, named and not main and tag != "article", part, form, header, main,
+        bool(outer and outer.heading) or tag in HEADINGS,
+    )
 
 
 def blocks(source: str | None) -> list[Block]:
@@ -142,6 +159,7 @@ def blocks(source: str | None) -> list[Block]:
     source = source or ""
     found: list[Block] = []
     stack: list[Open] = []
+    standing: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
     at = 0
 
@@ -149,20 +167,28 @@ def blocks(source: str | None) -> list[Block]:
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             linked = sum(len(t.split()) for t, link in parts if link)
-            heading = any(o.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for o in stack)
-            found.append(Block(text, len(text.split()), linked, stack[-1] if stack else None, heading))
+            found.append(Block(text, len(text.split()), linked, stack[-1] if stack else None, bool(stack and stack[-1].heading)))
         parts.clear()
 
     def say(text: str) -> None:
         if text and not (stack and stack[-1].dropped):
             parts.append((entities.unescape(text) if "&" in text else text, bool(stack and stack[-1].link)))
 
+    def leave(k: int) -> None:
+        """The elements from the ``k``-th on end."""
+        for o in reversed(stack[k:]):
+            o.closed()
+            standing[o.tag] -= 1
+        del stack[k:]
+
     def close(tags: set[str], walls: set[str]) -> None:
+        if not any(standing[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag in tags:
                 if any(o.tag in BLOCK for o in stack[k:]):
                     end_block()
-                del stack[k:]
+                leave(k)
                 return
             if stack[k].tag in walls:
                 return
@@ -176,7 +202,7 @@ def blocks(source: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            if tag == "br" or tag == "p" and not any(o.tag == "p" for o in stack):
+            if tag == "br" or tag == "p" and not standing["p"]:
                 parts.append((" ", False))
             else:
                 close({tag}, {"article", "body", "td", "th"} - {tag} if tag not in BLOCK else {"body"} - {tag})
@@ -197,8 +223,10 @@ def blocks(source: str | None) -> list[Block]:
             end_block()
         if tag not in VOID:
             stack.append(opened(tag, m[3] or "", stack[-1] if stack else None))
+            standing[tag] += 1
     say(source[at:] if "<" not in source[at:] or not re.match(r"<[A-Za-z/!?]", source[at:]) else "")
     end_block()
+    leave(0)
     return found
 
 
