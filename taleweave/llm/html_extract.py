@@ -2,10 +2,12 @@
 
 A page is cut into flat blocks of text at block-level tags. A block has its word count, its link density (the
 share of its words inside links), the same two figures of the block before and the block after, whether it is a
-heading, and two signs of the markup around it: ``away``, that it stands in a part of a page that is not the article
-(``nav``, ``footer``, ``form`` and the like by tag or ARIA role; sidebars, notices, adverts and comments by class or
-id), and ``here``, that it stands in the article. A part that holds the page's main element is never ``away``, nor is
-a form around paragraphs, and names such as ``no-sidebar`` or ``has-comments`` say nothing of what they stand on.
+heading, and three signs of the markup around it: ``away``, that it stands in a part of a page that is not the article
+(``nav``, ``footer``, ``form`` and the like by tag or ARIA role, and comments), ``named``, that a class or id calls
+a part around it a sidebar, notice, advert or the like, and ``here``, that it stands in the article. A part that holds
+the page's main element is neither ``away`` nor ``named``, nor is a form around paragraphs, and names such as
+``no-sidebar`` or ``has-comments`` say nothing of what they stand on. Within the article a name decides nothing by
+itself: long paragraphs under "social-history" are text, a line or a list of links under it is not.
 A decision tree, grown here by Gini impurity on the blocks of a small table of labelled pages, keeps or drops each
 block. ``labelled_pages`` is that table: layouts of news, blog, forum and shop pages, in which each block is labelled.
 
@@ -89,7 +91,7 @@ class Open:
     heading: bool
     paragraphs: int = 0
     main: bool = False
-    verdict: bool | None = None
+    verdict: tuple[bool, bool] | None = None
 
     def closed(self) -> None:
         """Tells the element around it what it held."""
@@ -97,20 +99,22 @@ class Open:
             self.outer.paragraphs += self.paragraphs + (self.tag == "p")
             self.outer.main = self.outer.main or self.main or self.is_main
 
-    def away(self) -> bool:
-        """Of this element or one around it; asked once the page is read, as it depends on what they hold."""
+    def aside(self) -> tuple[bool, bool]:
+        """Whether this element or one around it is away, and whether one is named so; asked once the page is read, as it depends on what they hold."""
         unknown: list[Open] = []
         o: Open | None = self
         while o and o.verdict is None:
             unknown.append(o)
             o = o.outer
-        found = bool(o and o.verdict)
+        away, named = (o and o.verdict) or (False, False)
         for o in reversed(unknown):
             holds = o.main or (o.form and o.paragraphs > 2)
             # a header within the article holds its headings; any other is the page's
             outside = o.header and not (o.outer and o.outer.here)
-            found = o.verdict = found or o.comment or ((o.form or o.named or o.part or outside) and not holds)
-        return found
+            away = away or o.comment or ((o.form or o.part or outside) and not holds)
+            named = named or (o.named and not holds)
+            o.verdict = away, named
+        return away, named
 
 
 @dataclass
@@ -122,8 +126,8 @@ class Block:
     heading: bool
 
     @property
-    def away(self) -> bool:
-        return bool(self.at and self.at.away())
+    def aside(self) -> tuple[bool, bool]:
+        return self.at.aside() if self.at else (False, False)
 
     @property
     def here(self) -> bool:
@@ -230,7 +234,7 @@ def blocks(source: str | None) -> list[Block]:
     return found
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "here", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "named", "here", "heading")
 
 
 def features(page: list[Block]) -> list[tuple[float, ...]]:
@@ -243,7 +247,7 @@ def features(page: list[Block]) -> list[tuple[float, ...]]:
                 float(b.words), density[k],
                 float(page[before].words) if k else 0.0, density[before] if k else 0.0,
                 float(page[after].words) if after < len(page) else 0.0, density[after] if after < len(page) else 0.0,
-                float(b.away), float(b.here), float(b.heading),
+                *map(float, b.aside), float(b.here), float(b.heading),
             )
         )
     return out
@@ -253,7 +257,7 @@ def features(page: list[Block]) -> list[tuple[float, ...]]:
 MARK = "\u2020"
 
 
-def labelled_pages(count: int = 60, seed: int = 1) -> list[str]:
+def labelled_pages(count: int = 240, seed: int = 1) -> list[str]:
     """Pages of usual layouts, in which the blocks of the main text end in ``MARK``; words are made of syllables, nothing comes from a corpus."""
     r = random.Random(seed)
 
@@ -279,6 +283,10 @@ def labelled_pages(count: int = 60, seed: int = 1) -> list[str]:
             return f"<blockquote>{words(5, 60)}{MARK}</blockquote>"
         if kind < 0.22:
             return f"<h{r.choice((2, 3))}>{words(2, 8)}{MARK}</h{r.choice((2, 3))}>"
+        if kind < 0.27:
+            return f"<p>{words(0, 4)} {link(2, 9)}{MARK}</p>"
+        if kind < 0.29:
+            return f"<h3>{link(2, 8)}{MARK}</h3>"
         linked = f"{link(1, 4)} {words(0, 20)}" if r.random() < 0.2 else ""
         return f"<p>{words(1, 120)} {linked}{MARK}</p>"
 
@@ -293,6 +301,11 @@ def labelled_pages(count: int = 60, seed: int = 1) -> list[str]:
             )
         )()
 
+    def section() -> str:
+        """A part of the article under a name that could be that of a sidebar or notice."""
+        long = "".join(f"<p>{words(45, 160)}{MARK}</p>" for _ in range(r.randint(1, 3)))
+        return element("div", ("social-history", "related-work", "banner-story", "share-prices", "notice-period"), long)
+
     def comments() -> str:
         return element("div", ("comments", "responses", "comment-list"), "".join(f"<p>{words(3, 90)}</p>" for _ in range(r.randint(1, 5))))
 
@@ -301,6 +314,8 @@ def labelled_pages(count: int = 60, seed: int = 1) -> list[str]:
         body = [f"<h1>{words(2, 12)}{MARK}</h1>", *(prose() for _ in range(r.randint(1, 12)))]
         if r.random() < 0.4:
             body.insert(r.randint(1, len(body)), aside())
+        if r.random() < 0.3:
+            body.insert(r.randint(1, len(body)), section())
         if r.random() < 0.3:
             body.append(comments())
         wrap = r.choice(
@@ -369,7 +384,7 @@ def grow(rows: list[tuple[float, ...]], labels: list[bool], depth: int, least: i
 
 
 @lru_cache(maxsize=4)
-def tree(depth: int = 6, least: int = 4, pages: tuple[str, ...] | None = None) -> Node | bool:
+def tree(depth: int = 8, least: int = 8, pages: tuple[str, ...] | None = None) -> Node | bool:
     """The tree of the labelled ``pages``, by default of the module's own."""
     return grow(*labelled_blocks(list(pages) if pages is not None else labelled_pages()), depth, least)
 
@@ -380,10 +395,10 @@ def keeps(node: Node | bool, row: tuple[float, ...]) -> bool:
     return node
 
 
-def main_text(source: str | None, pages: tuple[str, ...] | None = None) -> str:
-    """The kept blocks of a page, two line feeds between them."""
+def main_text(source: str | None, model: Node | bool | None = None) -> str:
+    """The blocks of a page that the ``model`` keeps (by default the module's own), two line feeds between them."""
     page = blocks(source)
-    model = tree(pages=pages)
+    model = tree() if model is None else model
     return "\n\n".join(b.text for b, row in zip(page, features(page), strict=True) if keeps(model, row))
 
 
@@ -391,9 +406,11 @@ def extract_main_text(docs: DataFrame, *, html: str = "html", keys: tuple[str, .
     """``keys``, ``text`` and ``n_chars`` of every page, in one narrow pass. ``pages`` are labelled pages to learn from, their main text marked by ``MARK``."""
     schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    model = tree(pages=pages)  # a few nodes, grown once and sent with the tasks
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            text = [main_text(x, pages) if isinstance(x, str) else "" for x in frame.iloc[:, -1]]
+            text = [main_text(x, model) if isinstance(x, str) else "" for x in frame.iloc[:, -1]]
             yield frame.iloc[:, :-1].assign(text=text, n_chars=[len(t) for t in text])
 
     return docs.select(*keys, F.col(html).cast("string").alias("__html")).mapInPandas(run, schema)

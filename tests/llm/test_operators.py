@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -381,6 +382,22 @@ def test_html_of_broken_and_long_pages():
     assert html_extract.main_text("<div>" * 3000 + "<article><p>deep</p></article>") == "deep"
 
 
+def test_html_unclosed_quotes_and_depth():
+    page = '<article><p>one</p><a href="foo>two</a><p class="x">three</p><p title=\'a > b\' data-x="<b>q</b>">four</p><p title=it\'s>five</p><p a="1"b="2">six</p></article>'
+    assert html_extract.main_text(page) == "one\n\ntwo\n\nthree\n\nfour\n\nfive\n\nsix"
+    for part in ("<div><p>a ", "<div>x</i>", '<a href="x>y', "<article><p>a</p>"):
+        start = time.process_time()
+        html_extract.main_text(part * 20_000)
+        assert time.process_time() - start < 15
+
+
+def test_html_names_within_an_article_decide_nothing_alone():
+    long = " ".join(["word"] * 70)
+    page = f'<article><h1>Head</h1><p>{long} 1</p><div class="social-history"><p>{long} 2</p></div><div id="related-work"><p>{long} 3</p></div><div class="share"><a href=x>Post</a> <a href=y>Mail</a></div><div class=ad>Buy now</div><p>See <a href=z>this</a></p></article>'
+    assert html_extract.main_text(page).split("\n\n") == ["Head", *(f"{long} {k}" for k in (1, 2, 3)), "See this"]
+    assert html_extract.main_text(f'<div class="related"><p>{long}</p></div><article><p>{long} 1</p></article><footer><p>{long}</p></footer>') in (f"{long} 1", f"{long}\n\n{long} 1")
+
+
 def test_simhash(docs, rows):
     got = simhash.simhash_components(docs).collect()
     assert len(got) == len(rows)
