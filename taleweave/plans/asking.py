@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import intent as it
+from ..operators import answering as an
 from ..operators import asking as ak
-from ..operators import keyword
 from ..operators import turns as tn
 from . import query, retrieval, table
 
@@ -53,21 +54,81 @@ def present_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ak.present_names(t, "names", "text").select("conv_id", "turn", F.array_join("names", "|").alias("names"))
 
 
-@query(f"""WITH {retrieval.BM25},
-b AS ({retrieval.ranked('(SELECT * FROM bm WHERE score > 0)', 'query_id', 30, 'query_id, id, score', 'score DESC, id')}),
-u AS (SELECT query_id, id, rank, 0 AS list_no FROM b WHERE id % 2 = 0 UNION ALL SELECT query_id, id, rank, 1 FROM b WHERE id % 3 = 0),
-f AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS s, min((list_no, rank)) AS first FROM u GROUP BY query_id, id), g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, id) AS place FROM f),
-c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS old_rank FROM g WHERE id % 5 <> 0 QUALIFY old_rank <= 15),
-x AS (SELECT c.query_id, c.id, old_rank, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')) AS qt, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')) AS dt FROM c JOIN benchmark q ON item_id = query_id JOIN documents d ON doc_id = id),
-r AS (SELECT query_id, id, old_rank, round(len(list_intersect(qt, dt)) + CASE WHEN len(dt) > 0 THEN 0.01::DOUBLE * len(list_intersect(qt, dt)) / len(dt) ELSE 0 END, 9) AS score FROM x)
-{retrieval.ranked('r', 'query_id', 5, 'query_id, id, score', 'score DESC, old_rank')}""")
+GRAMS = retrieval.BIGRAMS
+TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]'))"
+ANSWERS = f"""
+al AS (SELECT alias, min(alias) OVER (PARTITION BY left(alias, 4)) AS canonical, 's' || (ascii(alias) % 3) AS series FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS alias FROM benchmark) WHERE length(alias) >= 10),
+b AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, 's' || (conv_id % 3) AS series, CASE WHEN role = 'system' THEN 3 WHEN role = 'user' THEN 2 WHEN turn % 4 = 1 THEN 4 ELSE 1 END AS ch, conv_id // 3 AS ord FROM conversations),
+bw AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS alias FROM b), bn AS (SELECT id, list(DISTINCT canonical) AS names FROM bw JOIN al USING (alias) GROUP BY id),
+q0 AS (SELECT item_id AS query_id, lower(text) || CASE item_id % 4 WHEN 0 THEN ' and earlier' WHEN 1 THEN ' and later' WHEN 2 THEN ', what happened?' ELSE '' END AS query, list_filter(list_transform(string_split(regexp_replace(lower(text), '\\.\\s+', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM benchmark),
+e AS (SELECT query_id, list_sort(list(DISTINCT canonical)) AS e, min(al.series) AS lo, max(al.series) AS hi FROM q0 JOIN al ON contains(query, alias) GROUP BY query_id),
+a AS (SELECT q0.query_id, query, coalesce(e, []) AS e, CASE WHEN lo = hi THEN lo END AS series, CASE item_id % 4 WHEN 0 THEN 'earlier' WHEN 1 THEN 'later' END AS period, CASE WHEN item_id % 4 = 2 THEN 'narrative' ELSE 'default' END AS intent,
+  list_filter(list_concat([query], list_slice(list_filter(lines, lambda x: x <> query), 1, 2), [array_to_string(coalesce(e, []), ' ')]), lambda x: trim(x) <> '') AS vs FROM q0 LEFT JOIN e USING (query_id) JOIN benchmark ON item_id = q0.query_id),
+v AS (SELECT query_id, v - 1 AS variant, vs[v] AS text FROM (SELECT query_id, vs, unnest(range(1, len(vs) + 1)) AS v FROM a)),
+t AS (SELECT query_id, variant, unnest(list_distinct(list_slice({GRAMS.format("text")}, 1, 8))) AS term FROM v),
+d AS (SELECT id, greatest(length(coalesce(text, '')) - 1, 0) AS len, unnest({GRAMS.format("coalesce(text, '')")}) AS term FROM b),
+tf AS (SELECT id, term, any_value(len) AS len, count(*) AS tf FROM d WHERE term IN (SELECT DISTINCT term FROM t) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, avg(greatest(length(coalesce(text, '')) - 1, 0)) AS avgdl FROM b),
+bm AS (SELECT query_id, variant, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM t JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+m AS (SELECT bm.*, b.ch, CASE WHEN a.series IS NOT NULL AND a.series <> b.series THEN NULL WHEN len(a.e) = 0 OR list_has_any(a.e, coalesce(names, [])) THEN 0
+  WHEN len(list_filter(coalesce(names, []), lambda n: len(list_filter(a.e, lambda x: contains(n, left(x, 2)) OR contains(n, substr(x, 3, 2)))) > 0)) > 0 THEN 1 WHEN a.series IS NOT NULL THEN 2 END AS level
+  FROM bm JOIN b USING (id) LEFT JOIN bn USING (id) JOIN a USING (query_id) WHERE score > 0),
+l AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS least FROM m WHERE level IS NOT NULL),
+c AS (SELECT query_id, variant, ch, id, level, row_number() OVER (PARTITION BY query_id, variant, ch ORDER BY score DESC, id) AS rank FROM l WHERE level = least QUALIFY rank <= 30),
+f1 AS (SELECT query_id, variant, id, level, round(sum(1 / (60 + rank)), 9) AS s, min((ch, rank)) AS first FROM c GROUP BY ALL), r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY s DESC, first, id) AS rank FROM f1 QUALIFY rank <= 30),
+f2 AS (SELECT query_id, id, level, round(sum(1 / (60 + rank)), 9) AS s, min((variant, rank)) AS first FROM r1 GROUP BY ALL), r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, id) AS rank FROM f2 QUALIFY rank <= 30),
+os AS (SELECT series, list_sort(list(ord)) AS o FROM b WHERE ch = 4 GROUP BY series),
+w AS (SELECT r2.query_id, r2.id, r2.level, r2.rank AS old_rank, a.intent, b.ch, b.conv_id, b.turn, b.ord, a.period, o[least(len(o), floor(len(o) * CASE a.period WHEN 'earlier' THEN 0.3 ELSE 0.7 END)::BIGINT + 1)] AS th,
+  {TOKENS.format("a.query")} AS qt, {TOKENS.format("coalesce(b.text, '')")} AS dt FROM r2 JOIN a USING (query_id) JOIN b USING (id) LEFT JOIN os ON os.series = a.series),
+x AS (SELECT *, round(len(list_intersect(qt, dt)) + CASE WHEN len(dt) > 0 THEN 0.01::DOUBLE * len(list_intersect(qt, dt)) / len(dt) ELSE 0 END, 9) AS score FROM w WHERE period IS NULL OR th IS NULL OR ch <> 4 OR CASE period WHEN 'earlier' THEN ord <= th ELSE ord >= th END),
+h AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank)::INTEGER AS rank, id, conv_id, turn, score, level::INTEGER AS level, intent, ['narrative', 'dialogue', 'qa', 'character'][ch] AS channel FROM x QUALIFY rank <= 5)
+"""
+
+
+def turns_as_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of ``conversations`` as blocks: the conversation is document and chapter, long words of questions that a turn holds are its names."""
+    id_, series = (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string")).alias("series")
+    channel = F.when(F.col("role") == "system", "qa").when(F.col("role") == "user", "dialogue").when(F.col("turn") % 4 == 1, "character").otherwise("narrative").alias("channel")
+    turns = table(spark, sf_dir, "conversations").select(id_, "conv_id", "turn", "text", series, channel, F.floor(F.col("conv_id") / 3).alias("chapter_order"))
+    words = turns.select("id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("alias"))
+    names = words.join(long_words(spark, sf_dir), "alias").groupBy("id").agg(F.collect_set("canonical").alias("names"))
+    return turns.join(names, "id", "left")
+
+
+def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ten letters or more as aliases of the first that begins with the same four."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("alias")).where("length(alias) >= 10").distinct()
+    first = words.groupBy(F.left("alias", F.lit(4)).alias("stem")).agg(F.min("alias").alias("canonical"))
+    named = words.withColumn("stem", F.left("alias", F.lit(4))).join(first, "stem")
+    return named.select("alias", "canonical", F.when(F.col("alias") == F.col("canonical"), 2).otherwise(1).alias("kind"), F.concat(F.lit("s"), (F.ascii("alias") % 3).cast("string")).alias("series"))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.element_at(F.array(F.lit(" and earlier"), F.lit(" and later"), F.lit(", what happened?"), F.lit("")), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lower("text"), end).alias("query"), F.regexp_replace(F.lower("text"), r"\.\s+", "\n").alias("lines"))
+    # the sentences of a question stand for a model's rewrites of it
+    asked = asked.select("query_id", "query", F.slice(it.variants(F.col("lines"), F.col("query"), 2), 2, 2).alias("rewrites"))
+    return an.answer(asked, turns_as_blocks(spark, sf_dir), long_words(spark, sf_dir), 5)
+
+
+@query(f"WITH {ANSWERS} SELECT query_id, rank, id, score, level, intent, channel FROM h")
 def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two variants of each question, here parts of one hit list; documents of a fifth of the ids are out of scope."""
-    docs, asked = retrieval.texts(spark, sf_dir), retrieval.questions(spark, sf_dir)
-    hits = keyword.bm25(docs, asked, 30)
-    lists = [hits.where("id % 2 = 0"), hits.where("id % 3 = 0")]
-    fused = hits.where("id % 5 <> 0").select("query_id", "id").distinct()
-    return ak.retrieve(lists, fused, asked, docs, 5, wide=3)
+    """Every question against every turn: entities, scope, variants, channels, fallback, fusion, period, order by words."""
+    return answered(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {ANSWERS},
+k(query_id, rank, conv_id, turn, kept) AS (SELECT query_id, 0, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT query_id FROM h) UNION ALL SELECT k.query_id, h.rank, h.conv_id, h.turn::BIGINT,
+  CASE WHEN len(list_filter(k.kept, lambda o: o BETWEEN h.id - 1 AND h.id + 1 AND o // 1000 = h.conv_id)) > 0 THEN k.kept ELSE list_append(k.kept, h.id::BIGINT) END FROM k JOIN h ON h.query_id = k.query_id AND h.rank = k.rank + 1),
+n AS (SELECT query_id, rank, conv_id, turn FROM k WHERE rank > 0 AND list_contains(kept, conv_id * 1000 + turn)),
+p AS (SELECT n.query_id, n.rank, n.conv_id, n.turn AS centre, b.turn AS idx, trim(b.text) AS text, coalesce(sum(length(trim(b.text))) OVER (PARTITION BY n.query_id, n.rank ORDER BY b.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM n JOIN b ON b.conv_id = n.conv_id AND b.turn BETWEEN n.turn - 1 AND n.turn + 1 WHERE trim(coalesce(b.text, '')) <> ''),
+c2 AS (SELECT *, CASE WHEN used = 0 OR length(text) <= 900 - used THEN text WHEN 900 - used > 80 THEN left(text, (900 - used)::INTEGER) || '…' END AS piece FROM p)
+SELECT query_id, rank, conv_id AS doc_id, centre AS idx, string_agg(piece, chr(10) ORDER BY idx) AS text FROM c2 WHERE piece IS NOT NULL GROUP BY query_id, rank, conv_id, centre""")
+def retrieval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands within one turn of the answers, up to 900 characters each."""
+    blocks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chapter_idx"), F.col("turn").cast("long").alias("idx"), "text")
+    hits = answered(spark, sf_dir).select("query_id", "rank", F.floor(F.col("id") / 1000).alias("doc_id"), F.lit(0).alias("chapter_idx"), (F.col("id") % 1000).alias("idx"))
+    return an.contexts(hits, blocks, 1, 900).select("query_id", "rank", "doc_id", "idx", "text")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role <> 'system' AS ok FROM conversations), w AS (SELECT conv_id, turn, list(turn) FILTER (ok) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(turn) FILTER (ok) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM t)
