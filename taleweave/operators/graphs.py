@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .entities import mode_first
 
 
-#: Communities up to which they are broadcast.
-MOST_COMMUNITIES = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -170,19 +168,37 @@ def communities(edges: DataFrame, group: str) -> DataFrame:
 
 
 def global_search(queries: DataFrame, communities_: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``rank``, ``community``, ``score`` for ``queries(query_id, query)`` over ``communities(community, members, summary)``.
+    """``query_id``, ``rank``, ``community``, ``score``: the ``k`` best of ``communities(community, members, summary)`` for each of ``queries(query_id, query)``.
 
-    2 for each member a query names, the share of its bigrams that the summary holds, and an eighth of a
-    member at most 1. Every community has a score with every query, so all of them meet; they are broadcast if they
-    are few, else dealt out against the queries.
+    2 for each member a query names (empty names don't count), the share of its bigrams that the summary holds,
+    and an eighth of a member at most 1. Joins by equality only. The last two parts are 2 at most and a named
+    community has more, so a query that names ``k`` communities needs no other. For the rest, communities meet over
+    shared bigrams; one that shares nothing can only be among the ``k`` largest, so those ``k`` rows are offered to each.
+    A query or summary that is null counts as empty.
     """
-    from ..functions.text import char_ngrams
-
-    grams = F.array_distinct(char_ngrams(F.col("query"), 2))
-    few = communities_.limit(MOST_COMMUNITIES + 1).count() <= MOST_COMMUNITIES
-    both = queries.withColumn("grams", grams).crossJoin(F.broadcast(communities_) if few else communities_)
-    named = 2.0 * F.size(F.filter("members", lambda m: F.contains(F.col("query"), m)))
-    held = F.when(F.size("grams") > 0, F.size(F.filter("grams", lambda g: F.contains(F.col("summary"), g))) / F.size("grams")).otherwise(0.0)
-    scored = both.withColumn("score", F.round(named + held + F.least(F.lit(1.0), F.size("members") / 8), 6)).where("score > 0")
+    from ..functions.text import char_ngrams, empty_if_null
+    from .entities import contained
+
+    asked = queries.select("query_id", empty_if_null(F.col("query")).alias("query"))
+    grams = asked.select("query_id", F.array_distinct(char_ngrams(F.col("query"), 2)).alias("grams"))
+    each = grams.select("query_id", F.explode("grams").alias("gram"))
+    held = communities_.select("community", F.array_distinct(char_ngrams(empty_if_null(F.col("summary")), 2)).alias("grams")).select("community", F.explode("grams").alias("gram"))
+    members = communities_.select("community", F.explode("members").alias("name"))
+    found = contained(asked.select(F.col("query_id").alias("id"), F.col("query").alias("text")), members.select("name"))
+    named = found.join(members, "name").groupBy(F.col("id").alias("query_id"), "community").agg(F.count("*").alias("named"))
+    settled = named.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    open_ = asked.select("query_id").join(settled, "query_id", "left_anti")
+    size = F.least(F.lit(1.0), F.size("members") / 8)
+    largest = communities_.orderBy(F.desc(size), "community").limit(k).select("community")
+    none, pair = F.lit(0).cast("long"), ["query_id", "community"]
+    by_gram = each.join(open_, "query_id", "left_semi").join(held, "gram").groupBy(*pair).agg(F.count("*").alias("shared"))
+    by_name = named.join(settled, "query_id", "left_semi").select(*pair).join(each, "query_id").join(held, ["community", "gram"]).groupBy(*pair).agg(F.count("*").alias("shared"))
+    parts = named.select(*pair, "named", none.alias("shared"))
+    for shared in (by_gram, by_name):
+        parts = parts.unionByName(shared.select(*pair, none.alias("named"), "shared"))
+    parts = parts.unionByName(open_.join(F.broadcast(largest), how="cross").select(*pair, none.alias("named"), none.alias("shared")))
+    summed = parts.groupBy(*pair).agg(F.sum("named").alias("named"), F.sum("shared").alias("shared"))
+    sized = summed.join(communities_.select("community", size.alias("size")), "community").join(grams.select("query_id", F.size("grams").alias("n")), "query_id")
+    share = F.when(F.col("n") > 0, F.col("shared") / F.col("n")).otherwise(0.0)
+    scored = sized.withColumn("score", F.round(2.0 * F.col("named") + share + F.col("size"), 6)).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "community"))).where(F.col("rank") <= k).select("query_id", "rank", "community", "score")
-
