@@ -9,6 +9,7 @@ from ..functions import intent as it
 from ..functions import names as nm
 from ..functions import text as tx
 from . import asking, keyword, ranking, scope
+from .graphs import written
 
 #: Channels in the order of the intents' weights.
 CHANNELS = ("narrative", "dialogue", "qa", "character")
@@ -100,7 +101,8 @@ def answer(queries: DataFrame, blocks: DataFrame, aliases: DataFrame, k: int, wi
     search, the period it asks for, and the order by shared words. Texts are fetched for ``k * wide`` hits a question
     only. Questions that find nothing have no row; blocks without text are no hits.
     """
-    planned = plan_questions(queries, aliases)
+    # written once: a table's size is known, so that the terms asked for are broadcast where they are few and n-grams nobody asks for aren't shuffled
+    planned = written(plan_questions(queries, aliases), "questions")
     found = search(planned, blocks, k, wide)
     details = planned.select("query_id", "query", "series", "period", "intent")
     full = found.join(blocks.select("id", "channel", "chapter_order", tx.empty_if_null(F.col("text")).alias("text")), "id").join(details, "query_id")
