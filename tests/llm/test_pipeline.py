@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import neardup
+from taleweave.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,6 +97,26 @@ def test_near_copies_go(spark):
         assert len(kept & set(group)) == 1 and (kept & set(group)).pop()[0] == least
 
 
+def test_simhash_comes_first(spark, monkeypatch):
+    """Without bands the SimHash components remain, but for texts that only their fingerprints have in common."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [[word() for _ in range(400)] for _ in range(30)]
+    texts += [[*t[:200], word(), *t[201:]] for t in texts]
+    texts += [["spam", "eggs", "ham"] * 300 + [word() for _ in range(40)] for _ in range(3)]
+    texts = [" ".join(w) for w in texts]
+    bits = [simhash.fingerprint(t) for t in texts]
+    apart = lambda i, j: (bits[i] ^ bits[j]).bit_count()
+    near = {30 + i for i in range(30) if apart(i, 30 + i) <= 3}
+    assert len(near) > 5 and all(apart(i, j) <= 3 for i in range(60, 63) for j in range(60, 63))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = lambda: {x.doc_id for x in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert kept() == set(range(30)) | {60, 61, 62}
+    banded = neardup.banded
+    monkeypatch.setattr(neardup, "banded", lambda *a: banded(*a).withColumn("bands", F.expr("array_repeat(0L, 0)")))
+    assert kept() == set(range(63)) - near
+
+
 def test_texts_that_share_boilerplate_meet_no_one(spark):
     """A bucket of unlike texts gives no pairs, and the near copies among them are found all the same."""
     r = random.Random(8)
