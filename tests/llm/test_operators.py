@@ -333,6 +333,23 @@ def test_decontamination(spark, docs, rows):
     assert {x.doc_id for x in got if x.contaminated} == {500, 501, 502, 503, 504, 600, 602}
 
 
+def test_shingles_are_hashed_by_words(spark):
+    """As the words of SQL, in odd texts too, each word hashed once: no expression is evaluated once a shingle."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "B", "Z9", " ", "\n", "\x00", "\x0b", "\x7f", "-", "@", "[", "é", "İ", "ſ", "\u00a0", "\u3000", "中", "😀"]) for _ in range(r.randrange(60))) for _ in range(300)] + [None, "", "one Two", "a b c d e"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item long, t string")
+    of_hash, of_run = {}, {}
+    for x in decontaminate.shingled(rows, "t", 3).collect():
+        low = (texts[x.item] or "").translate(str.maketrans(common.UPPER, common.LOWER))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)] or [tuple(w)] * bool(w)
+        assert len(x.hs) == len(runs)
+        for h, run in zip(x.hs, runs, strict=True):
+            assert of_hash.setdefault(h, run) == run and of_run.setdefault(run, h) == h
+    plan = decontaminate.shingled(rows, "t", 3)._jdf.queryExecution().toString()
+    assert "lambda" not in plan and "MapInArrow" in plan
+
+
 def test_html_main_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header class=site><h1>Site</h1></header><nav><a href=/>Home</a></nav><div id='cookie-notice'><p>We use cookies for a better visit of this site.</p></div>"
