@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,23 @@ def listed(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+#: Bytes of text that a Python worker has in hand at once.
+SLICE_BYTES = 1 << 22
+
+
+def sliced(batch: pa.RecordBatch, *columns: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of a batch with about ``limit`` bytes in ``columns`` together, one row at least. Nothing is copied."""
+    sizes = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in columns), strict=True)]
+    start = held = 0
+    for at, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with underscores before it, that no column of ``df`` has (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import sliced, written
 
 #: Bound of the training sample, a language: rows, and bytes after which no further row is taken.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1_500_000
@@ -219,14 +219,18 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_or
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, ``lang_pred``, ``score`` and ``bits_per_byte`` (of the predicted language) of every row, in one narrow pass."""
+    """``keys``, ``lang_pred``, ``score`` and ``bits_per_byte`` (of the predicted language) of every row, in one narrow pass.
+
+    A text that is among the keys is sent to Python once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = keys.index(text) if text in keys and docs.schema[text].dataType == T.StringType() else len(keys)
     schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            texts = [x.as_py().encode("utf-8", "surrogatepass") if ok.as_py() else b"" for x, ok in zip(b.column(len(keys)), b.column(len(keys) + 1), strict=True)]
+        for b in (s for b in batches for s in sliced(b, at)):
+            texts = [x.as_py().encode("utf-8", "surrogatepass") if ok.as_py() else b"" for x, ok in zip(b.column(at), b.column(b.num_columns - 1), strict=True)]
             known = np.array([bool(t) and bool(m.langs) for t in texts], bool)
             pred, score, rate = np.full(len(texts), UND, object), np.zeros(len(texts)), np.zeros(len(texts))
             if known.any():
@@ -240,7 +244,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keys: tuple[s
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=[f.name for f in schema])
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keys, F.col(text).cast("string"), letter.alias("__letter")).mapInArrow(run, schema)
+    own = [] if at < len(keys) else [F.col(text).cast("string")]
+    return docs.select(*keys, *own, letter.alias("__letter")).mapInArrow(run, schema)
 
 
 def fold(id: Column) -> Column:

@@ -22,8 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,21 +105,21 @@ def rounded(cells: DataFrame, most: int) -> DataFrame:
     has one row a size, however many documents.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, carry = object(), 0.0
-        for frame in frames:
+        for b in batches:
             out = []
-            for of, size, n, rate in zip(frame["__source"], frame["__size"], frame["n"], frame["rate"], strict=True):
+            for of, size, n, rate in zip(*(b.column(c).to_pylist() for c in ("__source", "__size", "n", "rate")), strict=True):
                 if of != source:
                     source, carry = of, 0.0
                 owed = n * rate * size + carry
                 m = min(most * n, max(0, math.floor(owed / size + 0.5))) if size else 0
                 carry = owed - m * size
                 out.append(m)
-            yield frame.assign(m=np.array(out, np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "m"])
 
     schema = T.StructType([*cells.schema, T.StructField("m", T.LongType())])
-    return cells.repartition("__source").sortWithinPartitions("__source", F.desc("__size")).mapInPandas(run, schema)
+    return cells.repartition("__source").sortWithinPartitions("__source", F.desc("__size")).mapInArrow(run, schema)
 
 
 def mix_sources(

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -159,10 +158,10 @@ def under_nodes(rows: DataFrame, masks: list[int]) -> DataFrame:
 def search_nodes(rows: DataFrame, distance: int) -> DataFrame:
     """Links ``u``, ``v`` within each (mask, bits) node of ``rows(mask, bits, fp)``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def links(part: np.ndarray) -> pd.DataFrame:
+        def links(part: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero((part[1:, :2] != part[:-1, :2]).any(1)) + 1
             bounds = np.concatenate([[0], edge, [len(part)]])
             size = np.diff(bounds)
@@ -173,10 +172,10 @@ def search_nodes(rows: DataFrame, distance: int) -> DataFrame:
             found += zip(fps[near].tolist(), fps[near + 1].tolist(), strict=True)
             for a, n in zip(bounds[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 found += node_links(fps[a : a + n].view(np.uint64), distance)
-            return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-        for frame in frames:
-            rows = np.concatenate([*held, frame.to_numpy(np.int64)])
+        for b in batches:
+            rows = np.concatenate([*held, np.stack([c.to_numpy() for c in b.columns], 1)])
             if not len(rows):
                 continue
             # the last node of a batch may go on in the next
@@ -188,7 +187,7 @@ def search_nodes(rows: DataFrame, distance: int) -> DataFrame:
         if held:
             yield links(held[0])
 
-    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInPandas(run, "u long, v long")
+    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInArrow(run, "u long, v long")
 
 
 def fingerprint_links(distinct: DataFrame, distance: int, node_rows: int) -> DataFrame:
