@@ -79,17 +79,17 @@ def needed(n: Column, threshold: float) -> Column:
 class Rarity:
     """Hash buckets by the number of words they hold, over all texts, as a constant of the plan.
 
-    The driver gets one number a bucket. A bucket's level is the logarithm of its count of two in eighths, so
-    that the constant is short; words of one level are in the order of their hashes. ``calm`` is the first level
-    that buckets of over ``hot`` words can have.
+    The driver gets the levels of all buckets as one short string, ``levels``, not as a row a bucket. A bucket's level
+    is the logarithm of its count of two in eighths, so that the constant is short; words of one level are in the
+    order of their hashes. ``calm`` is the first level that buckets of over ``hot`` words can have.
     """
 
     def __init__(self, texts: DataFrame, hot: int) -> None:
         lines = texts.select(F.explode(lines_of(F.col("text"))).alias("t"))
         counts = lines.select(F.explode(tokens(F.col("t"))).alias("w")).select(self.bucket(F.xxhash64("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-        self.levels = [0] * (1 << BUCKET_BITS)
-        for r in counts.collect():
-            self.levels[r.bucket] = self.level(r.n)
+        level = F.coalesce(F.floor(F.log2(F.col("n") + 1) * 8), F.lit(0)).cast("int").alias("level")
+        every = texts.sparkSession.range(1 << BUCKET_BITS).join(counts, F.col("id") == F.col("bucket"), "left").select(F.struct("id", level).alias("at"))
+        self.levels = every.agg(F.array_join(F.sort_array(F.collect_list("at"))["level"].cast("array<string>"), ",")).first()[0]
         self.calm = self.level(hot)
 
     @staticmethod
@@ -102,7 +102,7 @@ class Rarity:
 
     def ordered(self, hashes: Column) -> Column:
         """Words, given by their hashes, as numbers, rarest first: the level in the 9 highest bits below the sign, then of the hash all but its lowest 10 bits."""
-        levels = F.split(F.lit(",".join(map(str, self.levels))), ",").cast("array<bigint>")
+        levels = F.split(F.lit(self.levels), ",").cast("array<bigint>")
         return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, self.bucket(h)), 54).bitwiseXOR(F.shiftrightunsigned(h, 10))))
 
     def is_calm(self, number: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import common, mixing, neardup, simhash
+from taleweave.llm import common, linededup, mixing, neardup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -171,3 +171,14 @@ def test_slices_of_a_batch():
     assert [p.num_rows for p in parts] == [3, 1, 1]
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     assert not list(common.sliced(batch.slice(5), 1))
+
+
+def test_line_order_reaches_the_driver_as_one_string(spark, sf_dir):
+    d, *_ = sf_dir
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    rarity = linededup.Rarity(docs, 4096)
+    buckets = 1 << linededup.BUCKET_BITS
+    levels = [int(x) for x in rarity.levels.split(",")]
+    words = docs.select(F.explode(linededup.lines_of(F.col("text"))).alias("t")).select(F.explode(linededup.tokens(F.col("t"))).alias("w"))
+    counts = {x.b: x["count"] for x in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count().collect()}
+    assert levels == [rarity.level(counts.get(b, 0)) for b in range(buckets)]
