@@ -109,12 +109,11 @@ class Rarity:
         return number < F.lit(min(self.calm << 54, (1 << 63) - 1))
 
 
-def parity(hashes: Column, part: int | None) -> Column:
-    """64 bits, each the parity of the words it stands for: two sets differ in as many words as their bits differ, at least. ``part``: of the words with that seventh highest bit."""
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))
-    if part is not None:
-        hashes = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(F.lit(1)) == part)
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(one(h)))
+def parity(hashes: Column, second: bool = False) -> Column:
+    """64 bits, each the parity of the words it stands for: two sets differ in as many words as their bits differ, at least. ``second``: only of the words with the seventh highest bit."""
+    shift = lambda one, h: F.call_function("shiftleft", one, F.shiftrightunsigned(h, 58).cast("int"))
+    one = lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(F.lit(1).cast("bigint")) if second else F.lit(1).cast("bigint")
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(shift(one(h), h)))
 
 
 def packed(high: Column, low: Column) -> Column:
@@ -157,18 +156,18 @@ def first_lines(keyed: DataFrame, rarity: Rarity, threshold: float, least: int)
             longer = F.slice(rarity.ordered(hashes), F.lit(1), F.least(n, n - needed(n, threshold) + 2))
             # a prefix keeps 32 bits of a word: words that fall together only make a candidate more
             prefix = bound(longer, lambda p: F.struct(F.transform(p, lambda w: F.hash(w)).alias("prefix"), F.size(F.filter(p, rarity.is_calm)).alias("calm")))
-            many = n >= LONG
-            bits = F.when(many, parity(hashes, 0)).otherwise(parity(hashes, None))
-            more = F.when(many, parity(hashes, 1)).otherwise(F.lit(0).cast("bigint"))
-            return F.when(n >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("p")))
+            # those of the words without the bit are what the second ones leave of all
+            more = F.when(n >= LONG, parity(hashes, second=True)).otherwise(F.lit(0).cast("bigint"))
+            bits = bound(more, lambda m: F.struct(parity(hashes).bitwiseXOR(m).alias("bits"), m.alias("more")))
+            return F.when(n >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), n.alias("n"), bits.alias("b"), prefix.alias("p")))
 
         return bound(word_hashes(t), part)
 
     # outer, so that no filter on the generated array is inferred, which would compute it twice
     each = keyed.select("id", F.inline_outer(F.array_compact(F.transform(lines_of(F.col("text")), described)))).where(F.col("h").isNotNull())
-    rest = [F.first(c).alias(c) for c in ("n", "bits", "more", "p")]
+    rest = [F.first(c).alias(c) for c in ("n", "b", "p")]
     first = each.groupBy("h", "g").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("copies"), *rest)
-    return first.select("at.id", "at.line", "h", "g", "copies", "n", "bits", "more", "p.prefix", "p.calm")
+    return first.select("at.id", "at.line", "h", "g", "copies", "n", "b.bits", "b.more", "p.prefix", "p.calm")
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +198,9 @@ def neighbours(firsts: DataFrame, threshold: float) -> DataFrame:
     side = F.struct("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more").alias("x")
     rows = firsts.select(side, F.explode(F.array_compact(F.array(*[pair(k) for k in range(LEADING)]))).alias("key"))
     before = Window.partitionBy("key").orderBy("x.id", "x.ln")
-    met = rows.select("x", F.array(F.first("x").over(before), *[F.lag("x", k).over(before) for k in range(1, BEFORE + 1)]).alias("ys"))
+    met = rows.select("x", F.first("x").over(before).alias("y0"), *[F.lag("x", k).over(before).alias(f"y{k}") for k in range(1, BEFORE + 1)])
+    # most words have one line alone
+    met = met.where(F.col("y1").isNotNull()).select("x", F.array(*[f"y{k}" for k in range(BEFORE + 1)]).alias("ys"))
     x = lambda c: F.col("x")[c]
 
     def near(y: Column) -> Column:

@@ -182,3 +182,28 @@ def test_line_order_reaches_the_driver_as_one_string(spark, sf_dir):
     words = docs.select(F.explode(linededup.lines_of(F.col("text"))).alias("t")).select(F.explode(linededup.tokens(F.col("t"))).alias("w"))
     counts = {x.b: x["count"] for x in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count().collect()}
     assert levels == [rarity.level(counts.get(b, 0)) for b in range(buckets)]
+
+
+def test_parity_bits_fold_the_words_at_most_twice(spark, tmp_path):
+    """All bits in one go; of long lines a second one, whose bits the first ones leave out."""
+    rows = [(1, " ".join(f"w{k}" for k in range(90))), (2, "a b c d e f"), (3, "a b")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    first = linededup.first_lines(docs, linededup.Rarity(docs, 4096), 0.8, 5)
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    for x in first.collect():
+        words = spark.createDataFrame([(w,) for w in rows[x.id - 1][1].split()], "w string").select(F.xxhash64("w").alias("h"))
+        bits = [0, 0]
+        for w in words.collect():
+            h = w.h % (1 << 64)
+            bits[x.n >= linededup.LONG and h >> 57 & 1] ^= 1 << (h >> 58)
+        assert [x.bits % (1 << 64), x.more % (1 << 64)] == bits
+
+
+def test_lines_without_neighbours_are_not_compared(spark):
+    """Lists of neighbours are made after the lines that have none are gone."""
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d e f g") for k in range(5)] + [(9 + k, "a9 b9 c9 d e f g" + " " * k) for k in range(6)], "id long, text string")
+    firsts = linededup.first_lines(docs, linededup.Rarity(docs, 4096), 0.8, 5)
+    found = linededup.neighbours(firsts, 0.8)
+    pairs = found.collect()
+    assert all(9 <= x.yid < x.xid for x in pairs) and len({x.xid for x in pairs}) >= 6 - linededup.SALTS
+    assert "isnotnull(y1" in found._jdf.queryExecution().optimizedPlan().toString()
