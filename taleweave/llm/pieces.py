@@ -252,6 +252,15 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.empty(0)]), kind, safe=False))
 
 
+def id_lists(column: pa.ListArray) -> list[list[int] | None]:
+    """The lists of a column, taken from its values at once: ``to_pylist`` makes an object of Arrow's for each id."""
+    if column.values.null_count:
+        return column.to_pylist()
+    ends = column.offsets.to_pylist()
+    flat = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().tolist()
+    return [flat[a - ends[0] : b - ends[0]] if there else None for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def encode(docs: DataFrame, path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), begin: bool = False, end: bool = False, batch_bytes: int = 1 << 18) -> DataFrame:
     """``keys``, ``ids``, ``starts`` and ``ends`` of every row; ``begin`` and ``end`` add those ids, with empty spans.
 
@@ -288,7 +297,7 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", out: str = "decod
             lengths = [4 * (n or 0) for n in b.column(at).value_lengths().to_pylist()]
             for part in slices(lengths, batch_bytes):
                 rows = b.slice(part.start, part.stop - part.start)
-                texts = [None if x is None else model.decode(x) if x else "" for x in rows.column(at).to_pylist()]
+                texts = [None if x is None else model.decode(x) if x else "" for x in id_lists(rows.column(at))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -183,3 +184,15 @@ def test_registered_digests(spark, tmp_path, rows):
         if not text or len(text) < 1000:
             a, b, groups, links = brute(text)
             assert (x.n_a, x.n_b, x.n_groups, x.n_links, x.groups_sha256) == (a, b, len(links), len(links), sha(groups) if groups else "")
+
+
+def test_ids_are_read_as_lists_at_once():
+    ids = pa.array([[1, 2], None, [], [3], [4, 5, 6]], pa.list_(pa.int32()))
+    for start in range(6):
+        for size in range(6 - start):
+            part = ids.slice(start, size)
+            assert pieces.id_lists(part) == part.to_pylist()
+    assert pieces.id_lists(pa.array([[1, None], [2]])) == [[1, None], [2]]
+    assert pieces.id_lists(pa.array([[1 << 40]])) == [[1 << 40]]
+    hidden = pa.ListArray.from_arrays([0, 2, 3], pa.array([1, 2, 3]), mask=pa.array([True, False]))
+    assert pieces.id_lists(hidden) == [None, [3]]
