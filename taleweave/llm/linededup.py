@@ -40,6 +40,8 @@ from .common import free_name, listed, written
 
 BUCKET_BITS = 17
 SALTS, LEADING, BEFORE, ASKED = 2, 3, 6, 8
+#: All pairs of so many lines are about ``ASKED`` a line.
+CROWD = 2 * ASKED
 #: Words from which a line has its second 64 parity bits.
 LONG = 64
 ADDED = ("n_lines", "n_removed", "n_left")
@@ -60,10 +62,11 @@ def tokens(line: Column) -> Column:
 
     The bytes are read as Latin-1 and lower-cased: besides A-Z that changes lead bytes of UTF-8 sequences, always to
     such of longer sequences, so that different words stay different. It takes a fraction of the time of ``translate``,
-    as does splitting at the space alone where a line has no other white space.
+    as does splitting at the space alone where a line has no other white space. ASCII is the same in Latin-1.
     """
+    plain = F.when(F.octet_length(line) == F.char_length(line), line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1"))
     odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.split(F.lower(F.decode(line.cast("binary"), "ISO-8859-1")), F.when(odd, F.lit(SPACE)).otherwise(F.lit(" ")), -1)
+    return F.split(F.lower(plain), F.when(odd, F.lit(SPACE)).otherwise(F.lit(" ")), -1)
 
 
 def word_hashes(line: Column) -> Column:
@@ -103,7 +106,8 @@ class Rarity:
     def ordered(self, hashes: Column) -> Column:
         """Words, given by their hashes, as numbers, rarest first: the level in the 9 highest bits below the sign, then of the hash all but its lowest 10 bits."""
         levels = F.split(F.lit(self.levels), ",").cast("array<bigint>")
-        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, self.bucket(h)), 54).bitwiseXOR(F.shiftrightunsigned(h, 10))))
+        # never null, as Spark then sorts plain numbers
+        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, self.bucket(h)), F.lit(0).cast("bigint")), 54).bitwiseXOR(F.shiftrightunsigned(h, 10))))
 
     def is_calm(self, number: Column) -> Column:
         return number < F.lit(min(self.calm << 54, (1 << 63) - 1))
@@ -138,9 +142,9 @@ def unlike(x, y) -> Column:
 def close_enough(x, y, x_at: Column, y_at: Column, threshold: float) -> Column:
     """The length filter, the positional filter on the first shared word, at x_at and y_at, and the parity filter."""
     xn, yn = low(x("ln")), low(y("ln"))
-    both = xn + yn
-    differ = both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    return (F.least(xn, yn) >= F.greatest(xn, yn) * threshold - 1e-9) & (x_at + y_at <= differ) & (unlike(x, y) <= differ)
+    # not rounded, which takes longer: it is only a little wider, and not at all for parity bits, which are odd in number just if both lengths together are
+    differ = (xn + yn) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (xn >= yn * threshold - 1e-9) & (yn >= xn * threshold - 1e-9) & (x_at + y_at <= differ) & (unlike(x, y) <= differ)
 
 
 def later(x, y) -> Column:
@@ -150,24 +154,23 @@ def later(x, y) -> Column:
 def first_lines(keyed: DataFrame, rarity: Rarity, threshold: float, least: int) -> DataFrame:
     """Of each string with ``least`` words or more the first place ``id``, ``line``, the hashes ``h`` and ``g``, how many ``copies`` it has, its number of words ``n``, ``bits`` and ``more``, its prefix and one word more, rarest first, and how many of these are ``calm``, that is surely in few lines."""
 
-    def described(t: Column, k: Column) -> Column:
-        def part(hashes: Column) -> Column:
-            n = F.size(hashes)
-            longer = F.slice(rarity.ordered(hashes), F.lit(1), F.least(n, n - needed(n, threshold) + 2))
-            # a prefix keeps 32 bits of a word: words that fall together only make a candidate more
-            prefix = bound(longer, lambda p: F.struct(F.transform(p, lambda w: F.hash(w)).alias("prefix"), F.size(F.filter(p, rarity.is_calm)).alias("calm")))
-            # those of the words without the bit are what the second ones leave of all
-            more = F.when(n >= LONG, parity(hashes, second=True)).otherwise(F.lit(0).cast("bigint"))
-            bits = bound(more, lambda m: F.struct(parity(hashes).bitwiseXOR(m).alias("bits"), m.alias("more")))
-            return F.when(n >= least, F.struct(k.cast("int").alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g"), n.alias("n"), bits.alias("b"), prefix.alias("p")))
-
-        return bound(word_hashes(t), part)
-
-    # outer, so that no filter on the generated array is inferred, which would compute it twice
-    each = keyed.select("id", F.inline_outer(F.array_compact(F.transform(lines_of(F.col("text")), described)))).where(F.col("h").isNotNull())
-    rest = [F.first(c).alias(c) for c in ("n", "b", "p")]
+    # outer, so that no filter on the generated array is inferred, which would compute it twice; the words of a line
+    # are no lambda's, for what stands in a lambda is interpreted, not compiled
+    lines = keyed.select("id", F.posexplode_outer(lines_of(F.col("text"))).alias("line", "t")).where(F.octet_length("t") >= 2 * least - 1)
+    each = lines.select("id", "line", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), word_hashes(F.col("t")).alias("w"))
+    n = F.size("w")
+    longer = F.slice(rarity.ordered(F.col("w")), F.lit(1), F.least(n, n - needed(n, threshold) + 2))
+    more = F.when(n >= LONG, parity(F.col("w"), second=True)).otherwise(F.lit(0).cast("bigint"))
+    of = lambda x: F.when(n >= least, x)
+    each = each.select("id", "line", "h", "g", n.alias("n"), of(parity(F.col("w"))).alias("all"), of(more).alias("more"), of(longer).alias("p"))
+    # a prefix keeps 32 bits of a word: words that fall together only make a candidate more; of the words without the
+    # bit are what the second ones leave of all
+    prefix, calm = F.transform("p", lambda w: F.hash(w)), F.size(F.filter("p", rarity.is_calm))
+    each = each.select("id", "line", "h", "g", "n", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more", prefix.alias("prefix"), calm.alias("calm"))
+    rest = [F.first(c).alias(c) for c in ("n", "bits", "more", "prefix", "calm")]
     first = each.groupBy("h", "g").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("copies"), *rest)
-    return first.select("at.id", "at.line", "h", "g", "copies", "n", "b.bits", "b.more", "p.prefix", "p.calm")
+    # only here: before, the filter would go below and compute the words twice
+    return first.where(F.col("n") >= least).select("at.id", "at.line", "h", "g", "copies", "n", "bits", "more", "prefix", "calm")
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
@@ -190,13 +193,16 @@ def neighbours(firsts: DataFrame, threshold: float) -> DataFrame:
 
     The last words of the prefix are taken: in a large group of near copies these are the words of the group, while
     the rarest words of a line are those that it has alone. Of the first line of a list and the ``BEFORE`` that stand
-    right before, over all lists of a line, the ``ASKED`` with the most like parity bits are its neighbours.
+    right before, over all lists of a line, the ``ASKED`` with the most like parity bits are its neighbours. Lists of
+    ``CROWD`` lines or fewer are left to the join: all their pairs are hardly more than ``ASKED`` for each line.
     """
     salt = F.pmod(F.xxhash64("id", "line"), F.lit(SALTS))
     last = F.col("n") - needed(F.col("n"), threshold)
     pair = lambda k: F.when(last > k, F.xxhash64(F.get("prefix", last - k), F.get("prefix", last - k - 1), salt))
     side = F.struct("id", packed(F.col("line"), F.col("n")).alias("ln"), "bits", "more").alias("x")
-    rows = firsts.select(side, F.explode(F.array_compact(F.array(*[pair(k) for k in range(LEADING)]))).alias("key"))
+    rows = firsts.select(side, F.explode(F.array(*[pair(k) for k in range(LEADING)])).alias("key")).where(F.col("key").isNotNull())
+    crowded = rows.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > CROWD).select("key")
+    rows = rows.join(listed(written(crowded, "crowded")), "key", "left_semi")
     before = Window.partitionBy("key").orderBy("x.id", "x.ln")
     met = rows.select("x", F.first("x").over(before).alias("y0"), *[F.lag("x", k).over(before).alias(f"y{k}") for k in range(1, BEFORE + 1)])
     # most words have one line alone
@@ -220,8 +226,8 @@ def postings(asked: DataFrame, firsts: DataFrame, threshold: float, hot: int) ->
     frequent = written(firsts.select(F.explode(F.slice("prefix", F.col("calm") + 1, F.size("prefix"))).alias("word")).groupBy("word").agg(F.count("*").alias("lines")).where(F.col("lines") > hot).select("word"), "frequent")
     before = lambda i: F.coalesce(F.get("prefix", i - 1), F.lit(0))
     # the first word has none before it: a number that no pair has in common stands for it
-    each = F.transform(F.slice("prefix", F.lit(1), own), lambda w, i: F.struct(w.alias("word"), i.alias("i"), before(i).alias("before")))
-    alone = asked.select(*known, "asks", F.inline(each)).select("word", *known[:1], "ln", "bits", "more", about(F.col("before"), F.col("i")).alias("pi"))
+    each = asked.select("n", *known, "asks", "prefix", F.posexplode_outer("prefix").alias("i", "word")).where(F.col("i") < own)
+    alone = each.select("word", "id", "ln", "bits", "more", about(before(F.col("i")), F.col("i")).alias("pi"))
     if frequent.isEmpty():
         return alone.select(F.col("word").cast("bigint").alias("key"), "id", "ln", "pi", "bits", "more")
     alone = alone.join(listed(frequent), "word", "left_anti").select(F.col("word").cast("bigint").alias("key"), "id", "ln", "pi", "bits", "more")
@@ -266,7 +272,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", thre
     keyed = docs.where(F.col(text).isNotNull()).select(key.alias("id"), whole.alias("of"), F.col(text).cast("string").alias("text"))
     firsts = written(first_lines(keyed, Rarity(keyed, hot), threshold, least), "firsts")
     place = ["id", "line", "h", "g"]
-    settled = written(verified(written(neighbours(firsts, threshold), "neighbours"), keyed, threshold).join(firsts.select(*place), place, "left_semi"), "settled")
+    alike = written(verified(written(neighbours(firsts, threshold), "neighbours"), keyed, threshold), "alike")
+    settled = written(firsts.select(*place).join(listed(alike), place, "left_semi"), "settled")
     asked = firsts.join(listed(settled.withColumn("settled", F.lit(True))), place, "left").withColumn("asks", F.col("settled").isNull())
     pairs = written(candidates(postings(asked, firsts, threshold, hot), threshold), "pairs")
     found = written(settled.union(verified(pairs, keyed, threshold)).distinct(), "found")

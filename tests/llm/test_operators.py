@@ -154,6 +154,28 @@ def test_line_dedup_of_near_copies(spark, hot):
     assert sum(x.n_removed for x in got) > 50
 
 
+def test_line_dedup_leaves_small_groups_to_the_join(spark):
+    """Lines of a large group meet a neighbour first; for small groups nothing is dealt out beforehand."""
+    r = random.Random(7)
+
+    def group(name, n):
+        base = [f"{name}{k}" for k in range(40)]
+        return [(base.remove(w := r.choice(base)), " ".join([*base, f"{name}own{k}"]), base.append(w))[1] for k in range(n)]
+
+    def asked(lines):
+        keyed = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+        firsts = common.written(linededup.first_lines(keyed, linededup.Rarity(keyed, 4096), 0.8, 5), "firsts")
+        return linededup.neighbours(firsts, 0.8).count()
+
+    few, many = [x for k in range(12) for x in group(f"Few{k}x", 6)], group("many", 200)
+    assert asked(few) == 0 and 100 < asked(many) <= 200 * linededup.ASKED
+    rows = list(enumerate(few + many))
+    want = brute_lines(rows)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == {i: want[i, t] for i, t in rows}
+    assert sum(x.n_removed for x in got) == 12 * 5 + 199
+
+
 def test_line_dedup_of_other_ids(spark):
     same, other = "one two three four five six", "quite other words stand in this one"
     rows = [("b", same), ("a", f"{other}\n{same}"), (None, other), ("", "short line\n" + other), ("c", None)]
