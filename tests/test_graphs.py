@@ -28,3 +28,29 @@ def test_global_search_equals_all_pairs(spark):
     for k in (1, 3):
         got = graphs.global_search(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(communities, "community int, members array<string>, summary string"), k).collect()
         assert {tuple(x) for x in got} == brute(queries, communities, k)
+
+
+def test_shared_groups_make_no_row_a_group_where_pairs_share_many(spark):
+    r = random.Random(7)
+    dense = [(g, n) for g in range(70) for n in range(40) if r.random() < 0.6]
+    sparse = [(g, n) for g in range(3000) for n in r.sample(range(900), 2)] + [(None, 3), (4, None)]
+    for rows, block in ((dense, 8), (sparse, 8), ([], 8)):
+        groups = {}
+        for g, n in rows:
+            if g is not None and n is not None:
+                groups.setdefault(g, set()).add(n)
+        want = {}
+        for m in groups.values():
+            for a in m:
+                for b in m:
+                    if a < b:
+                        want[a, b] = want.get((a, b), 0) + 1
+        found = graphs.shared_groups(spark.createDataFrame(rows + rows[:5], "g int, n int"), "g", "n", block)
+        assert {(x.a, x.b): x.n_shared for x in found.collect()} == want and found.count() == len(want)
+        # pairs that share dozens of groups are counted where they are made: nothing is aggregated by pair
+        assert ("keys=[a#" in found._jdf.queryExecution().executedPlan().toString()) == (rows is not dense)
+
+
+def test_members_of_pairs(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (3, None), (3, 7)], "g int, n int")
+    assert sorted(map(tuple, graphs.members_within(rows, "g", "n").collect())) == [(2, 5), (2, 6)]
