@@ -6,7 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that show a mood, one pattern a mood, in the order in which they are asked.
-MOODS = {"angry": r"(?i)怒|骂|shout|angry|furious", "sad": r"(?i)哭|泪|叹|sob|sigh|tear", "happy": r"(?i)笑|喜|laugh|smile|grin", "afraid": r"(?i)怕|惊|恐|fear|afraid|tremble"}
+MOODS = {"angry": r"(?iu)怒|骂|shout|angry|furious", "sad": r"(?iu)哭|泪|叹|sob|sigh|tear", "happy": r"(?iu)笑|喜|laugh|smile|grin", "afraid": r"(?iu)怕|惊|恐|fear|afraid|tremble"}
+#: The same in English only.
+MOODS_EN = {"angry": r"(?iu)shout|angry|furious", "sad": r"(?iu)sob|sigh|tear", "happy": r"(?iu)laugh|smile|grin", "afraid": r"(?iu)fear|afraid|tremble"}
+#: Where a word of ASCII letters ends or begins, whatever other letters stand beside it: Java's own ``\b`` is that of ASCII only from version 19 on.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: How a question begins.
+ASKS_EN = rf"^(?iu:who|what|when|where|why|how|which|is|are|does|did|can){EDGE}"
+ASKS = ASKS_EN + "|^(?:谁|什么|为什么|怎么|哪)"
+#: All space separators of Unicode; ``trim`` alone takes off the plain one.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: What stands before or after the name of a speaker.
 SPEAKER_DEBRIS = r"^[\s\"“「『(（\[【]+|[\s\"”」』)）\]】:：,，、.。]+$|(?:说道|问道|答道|喊道|说|问|答|喊|道)$"
 
@@ -28,10 +37,10 @@ def clean_speaker(name: Column, rounds: int = 4, debris: str = SPEAKER_DEBRIS) -
     return out
 
 
-def is_question(text: Column) -> Column:
-    """Ends in a question mark, or begins with a word that asks."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    return t.rlike(r"[?？]$") | t.rlike(r"^(?i:who|what|when|where|why|how|which|is|are|does|did|can)\b|^(?:谁|什么|为什么|怎么|哪)")
+def is_question(text: Column, asks: str = ASKS) -> Column:
+    """Ends in a question mark, or begins with a word that asks; spaces of any kind around it don't count, a line feed at the end does."""
+    t = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return t.rlike(r"[?？]\z") | t.rlike(asks)
 
 
 def eligible(confidence: Column, evidence: Column, least: float = 0.35) -> Column:
