@@ -50,3 +50,7 @@ def test_substrings_are_those_of_words(spark):
     assert set(found) == want and len(found) == len(want)
     texts, names = spark.createDataFrame([(1, "ab cd " * 200), (2, "b c")], "id int, text string"), spark.createDataFrame([("b",), ("b c",), ("abcd",), ("d ",)], "name string")
     assert sorted(map(tuple, contained(texts, names).collect())) == [(1, "b"), (1, "b c"), (1, "d "), (2, "b"), (2, "b c")]
+
+
+def test_entities_inside_words(spark, tmp_path):
+    assert agrees(spark, tmp_path, "entity_resolution", conversations=talk([t for t in TEXTS if t]), benchmark=ITEMS) == 6
