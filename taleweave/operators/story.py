@@ -41,14 +41,27 @@ def lorebook(chronicle_: DataFrame, by: str, entity: str, least: int = 2, most_e
     return ranked.groupBy(by, entity, "period").agg(F.min("first").alias("seq_from"), F.max("last").alias("seq_to"), F.sum("n").alias("events"), text.alias("content")).where(F.col("events") >= least)
 
 
+def first_of_keys(keys: DataFrame, order: list, k: int) -> DataFrame:
+    """Of ``keys(name, p, entry_id, priority, seq_from)`` the first ``k`` entries of each name, with the first place ``p`` it has there."""
+    once = keys.groupBy("name", "entry_id", "priority", "seq_from").agg(F.min("p").alias("p"))
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("r") <= k).drop("r")
+
+
 def activated(texts: DataFrame, entries: DataFrame, lengths: list[int] | None = None, k: int = 6) -> DataFrame:
-    """``id``, ``rank``, ``entry_id``, ``key`` of ``entries(entry_id, keys, priority, seq_from)`` with a key in ``texts(id, text)``; the first key that is there counts."""
+    """``id``, ``rank``, ``entry_id``, ``key`` of ``entries(entry_id, keys, priority, seq_from)`` with a key in ``texts(id, text)``; the first key that is there counts.
+
+    Of the entries that share a key only the first ``k`` meet the texts that hold it: any other has ``k`` before it in
+    each of these texts, whatever else they hold.
+    """
     from .entities import contained
 
-    keys = entries.select("entry_id", "priority", "seq_from", F.posexplode("keys").alias("p", "name"))
-    found = contained(texts, keys.select("name"), lengths).join(keys, "name")
-    first = found.groupBy("id", "entry_id", "priority", "seq_from").agg(F.min_by("name", "p").alias("key"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("priority"), "seq_from", "entry_id"))).where(F.col("rank") <= k).select("id", "rank", "entry_id", "key")
+    entry, first = ["entry_id", "priority", "seq_from"], [F.desc("priority"), "seq_from", "entry_id"]
+    keys = entries.select(*entry, F.posexplode("keys").alias("p", "name"))
+    met = contained(texts, keys.select("name"), lengths).join(first_of_keys(keys, first, k), "name")
+    found = met.groupBy("id", *entry).agg(F.min("p").alias("p"))
+    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*first))).where(F.col("rank") <= k)
+    named = keys.groupBy(*entry, "p").agg(F.min("name").alias("key"))
+    return top.join(named, [*entry, "p"]).select("id", "rank", "entry_id", "key")
 
 
 def time_matches(era: Column, year_from: Column, year_to: Column, asked_era: Column, asked_year: Column) -> Column:

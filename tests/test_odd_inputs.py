@@ -54,3 +54,15 @@ def test_substrings_are_those_of_words(spark):
 
 def test_entities_inside_words(spark, tmp_path):
     assert agrees(spark, tmp_path, "entity_resolution", conversations=talk([t for t in TEXTS if t]), benchmark=ITEMS) == 6
+
+
+def test_lore_of_common_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from taleweave.operators import story
+
+    assert agrees(spark, tmp_path, "lorebook_activation_all", conversations=talk(TEXTS), benchmark=ITEMS) == 26
+    keys = spark.createDataFrame([("a", p, e, e % 3, 0) for e in range(100) for p in (2, 1)] + [("b", 0, 7, 1, 0)], "name string, p int, entry_id int, priority int, seq_from int")
+    # of a hundred entries with one key six can be among a text's best
+    got = story.first_of_keys(keys, [F.desc("priority"), "seq_from", "entry_id"], 6).collect()
+    assert sorted((x.name, x.entry_id, x.p) for x in got) == [("a", e, 1) for e in (2, 5, 8, 11, 14, 17)] + [("b", 7, 0)]
