@@ -54,3 +54,20 @@ def test_shared_groups_make_no_row_a_group_where_pairs_share_many(spark):
 def test_members_of_pairs(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (3, None), (3, 7)], "g int, n int")
     assert sorted(map(tuple, graphs.members_within(rows, "g", "n").collect())) == [(2, 5), (2, 6)]
+
+
+def test_links_are_read_once(spark):
+    """Hops read a table: what makes the links runs once, however many hops there are."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long").mapInArrow(run, "a long, b long")
+    got = graphs.shortest_paths(links, spark.range(1).select(F.col("id").alias("source")), 5).collect()
+    assert sorted((x.node, x.hops) for x in got) == [(k, k) for k in range(6)]
+    assert seen.value == 16  # once for either direction
