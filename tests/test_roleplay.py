@@ -33,3 +33,17 @@ def test_evidence_of_several_kinds(spark):
     relations = [("r1", "Ann", "Bob", "old", "d1", 1), ("r2", "Bob", "Ann", "new", "d1", 5), ("r3", "Ann", "Cid", "x", "d0", 9), ("r4", "Ann", "Ann", "self", "d9", 9)]
     relations = spark.createDataFrame(relations, "id string, source string, target string, text string, doc_id string, chapter_order int")
     assert [(r.place, r.id) for r in rp.relation_hits(asked, relations).orderBy("place").collect()] == [(1, "r2"), (2, "r3")]
+
+
+def test_sayings_like_a_cards_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    sets = [list(t) for t in sorted({tuple(sorted(r.sample("abcdefghij", r.randrange(1, 10)))) for _ in range(150)})]
+    r.shuffle(sets)
+    sets.append([])
+    said, known = sets[:100] + [[]], sets[60:]
+    frame = lambda rows: spark.createDataFrame([("".join(w), w) for w in rows], "key string, words array<string>")
+    want = {("".join(a), "".join(b)) for a in said for b in known if len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
+    got = rp.like_known(frame(said), frame(known))
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 50 and got.count() == len(want)
